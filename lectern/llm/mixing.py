@@ -53,7 +53,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumn("target", F.when(F.col("share") > F.col("ratio"), F.col("cap").cast("double")).otherwise(free * F.col("weight")))
     by_k = Window.orderBy("k")
     to = F.sum("target").over(by_k.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("source_size").over(every).cast("double")
+    whole = F.nullif(F.sum("source_size").over(every).cast("double"), F.lit(0.0))
     last = F.max(F.when(F.col("target") > 0, F.col("k"))).over(every)
     s = s.withColumn("to", to)
     s = s.withColumn("lo", F.coalesce(F.lag("to").over(by_k), F.lit(0.0)) / whole).withColumn("hi", F.when(F.col("k") == last, 2.0).otherwise(F.col("to") / whole))
@@ -140,7 +140,7 @@ fixed AS (
   SELECT *, CASE WHEN share > ratio THEN CAST(cap AS DOUBLE) ELSE (max(CASE WHEN share <= ratio THEN share END) OVER ()) * weight END AS target FROM shares),
 ends AS (
   SELECT *, sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    CAST(sum(source_size) OVER () AS DOUBLE) AS whole, max(CASE WHEN target > 0 THEN k END) OVER () AS last_k FROM fixed),
+    nullif(CAST(sum(source_size) OVER () AS DOUBLE), 0.0) AS whole, max(CASE WHEN target > 0 THEN k END) OVER () AS last_k FROM fixed),
 plan AS (
   SELECT *, coalesce(lag(upto) OVER (ORDER BY k), 0.0) / whole AS lo, CASE WHEN k = last_k THEN 2.0 ELSE upto / whole END AS hi,
     CAST(ceil(source_size / {BLOCK}) AS BIGINT) AS blocks FROM ends),
