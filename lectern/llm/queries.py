@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing
+from lectern.llm import mixing, warc
 from lectern.llm.common import table
 from lectern.llm.simhash import simhash_components
 
@@ -15,16 +15,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).selectExpr("row_id AS page_id", "payload_bytes", "payload_digest", "type AS record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op8_warc": op8_warc,
     "op10_mix": op10_mix,
 }
 
 SQL: dict[str, str] = {
+    "op8_warc": warc.SQL,
     "op10_mix": mixing.SQL,
 }
