@@ -59,6 +59,8 @@ def arc_record(version: str, name: str, row: str, url: str | None, payload: str
 def read_arc(data: bytes) -> Iterator[dict[str, str | bytes]]:
     """Records after the version block: the named fields of each line, and ``body``."""
     at = 0
+    if not data:
+        return
 
     def line() -> list[str]:
         nonlocal at
