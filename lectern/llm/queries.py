@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import mixing, warc
+from lectern.llm import mixing, quality, warc
 from lectern.llm.common import table
 from lectern.llm.simhash import simhash_components
 
@@ -19,12 +19,17 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).selectExpr("row_id AS page_id", "payload_bytes", "payload_digest", "type AS record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_quality": op5_quality,
     "op8_warc": op8_warc,
     "op10_mix": op10_mix,
 }
