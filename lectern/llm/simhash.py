@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Forest, connected_components, materialise
+from lectern.llm.common import connected_components, materialise
 
 SEED = 42
 WORDS = 3
 MAX_BITS = 2
 FAN = 8
+#: Searches of one node that go down the index together.
+QUERIES = 256
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -91,9 +93,9 @@ def search(codes: np.ndarray, limit: int, fan: int = FAN) -> tuple[np.ndarray, n
     levels = index_levels(codes, fan)
     top = len(levels[-1][0])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for start in range(0, len(codes), 4096):  # bounds the frontier
-        q = np.arange(start, min(len(codes), start + 4096))
-        query, node = np.repeat(q, top), np.tile(np.arange(top), len(q))
+    for start in range(0, len(codes), QUERIES):  # bounds the frontier
+        q = np.arange(start, min(len(codes), start + QUERIES), dtype=np.int32)
+        query, node = np.repeat(q, top), np.tile(np.arange(top, dtype=np.int32), len(q))
         seen = np.zeros(len(query), np.uint16)
         apart = np.zeros(len(query), np.uint8)
         for k in range(len(levels) - 1, -1, -1):
@@ -103,7 +105,7 @@ def search(codes: np.ndarray, limit: int, fan: int = FAN) -> tuple[np.ndarray, n
             query, node, apart, seen = query[on], node[on], apart[on], masks[node[on]]
             if k:
                 below = len(levels[k - 1][0])
-                node = (node[:, None] * fan + np.arange(fan)).ravel()
+                node = (node[:, None] * fan + np.arange(fan, dtype=np.int32)).ravel()
                 query, apart, seen = np.repeat(query, fan), np.repeat(apart, fan), np.repeat(seen, fan)
                 on = (node < below) & ((node + 1) * fan ** (k - 1) > query)  # a node that ends before the query holds no later code
                 query, node, apart, seen = query[on], node[on], apart[on], seen[on]
@@ -112,6 +114,20 @@ def search(codes: np.ndarray, limit: int, fan: int = FAN) -> tuple[np.ndarray, n
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest member of each one's component, of 0 to n - 1 linked by the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (x, y, root[x], root[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _links(limit: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -138,13 +154,10 @@ def links_of(rows: pd.DataFrame, bounds: np.ndarray, limit: int) -> pd.DataFrame
     two = two[np.bitwise_count(codes[two] ^ codes[two + 1]) <= limit]
     a, b = [rep[two]], [rep[two + 1]]
     for start, n in zip(bounds[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        x, y = search(codes[start : start + n], limit)
-        f, own = Forest(), rep[start : start + n]
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            f.link(i, j)
-        tree = np.array(f.edges(), np.int64).reshape(-1, 2)
-        a.append(own[tree[:, 0]])
-        b.append(own[tree[:, 1]])
+        root = roots(n, *search(codes[start : start + n], limit))
+        own, far = rep[start : start + n], np.flatnonzero(root != np.arange(n))
+        a.append(own[far])
+        b.append(own[root[far]])
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
