@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, pieces, quality, warc
+from lectern.llm import lines, mixing, pieces, quality, warc
 from lectern.llm.common import table
 from lectern.llm.simhash import simhash_components
 
@@ -27,6 +28,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").alias("n_dropped"), F.sha2(F.array_join(F.col("dropped").cast("array<string>"), ","), 256).alias("dropped_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).selectExpr("row_id AS page_id", "payload_bytes", "payload_digest", "type AS record_type", "refers_to")
 
@@ -34,6 +40,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_quality": op5_quality,
+    "op7_lines": op7_lines,
     "op8_warc": op8_warc,
     "op9_pieces": op9_pieces,
     "op10_mix": op10_mix,
