@@ -88,6 +88,20 @@ class Forest:
         return [(x, self.find(x)) for x in list(self.up)]
 
 
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest member of each one's component, of 0 to n - 1 linked by the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (x, y, root[x], root[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning forest of a partition's links as (node, smaller root); no larger than its input."""
     f = Forest()
@@ -110,7 +124,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     adaptive execution splits. Null ends and loops are ignored.
     """
     spark = links.sparkSession
-    e = links.select(F.least(a, b).alias("root"), F.greatest(a, b).alias("node")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("root"), F.greatest(a, b).alias("node"))
     e = materialise(e.select("node", "root").mapInPandas(_forest, "node long, root long"), "cc")
     while True:
         twice = e.groupBy("node").agg(F.countDistinct("root").alias("n")).where("n > 1").select("node")

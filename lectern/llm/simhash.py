@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import connected_components, materialise
+from lectern.llm.common import connected_components, materialise, roots
 
 SEED = 42
 WORDS = 3
@@ -114,20 +114,6 @@ def search(codes: np.ndarray, limit: int, fan: int = FAN) -> tuple[np.ndarray, n
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest member of each one's component, of 0 to n - 1 linked by the pairs (x, y)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        for end in (x, y, root[x], root[y]):
-            np.minimum.at(new, end, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _links(limit: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
