@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lines, mixing, pieces, private, quality, vectors, warc
+from lectern.llm import lines, mixing, passages, pieces, private, quality, vectors, warc
 from lectern.llm.common import table
 from lectern.llm.simhash import simhash_components
 
@@ -24,6 +24,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_passages": op2_passages,
     "op3_private": op3_private,
     "op4_vectors": op4_vectors,
     "op5_quality": op5_quality,

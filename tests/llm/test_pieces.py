@@ -60,6 +60,14 @@ def test_dropout(vocabulary):
                 assert v.decode(v.encode(t, 7, stream, rate)) == t
 
 
+def test_both_agendas_agree(vocabulary, monkeypatch):
+    rng = random.Random(9)
+    words = ["▁" + "".join(rng.choice("aehinorstz漢") for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    short = [[vocabulary.merge(w, 5, 1, rate) for rate in (0.0, 0.2, 0.7)] for w in words]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert short == [[vocabulary.merge(w, 5, 1, rate) for rate in (0.0, 0.2, 0.7)] for w in words]
+
+
 def test_frames(spark, vocabulary):
     rows = [(i, t, 0, "x") for i, t in enumerate(texts())] + [(None, "no id", 0, "x"), (900, None, 1, "x"), (900, "same id", 1, "x"), (901, "long text " * 50_000, 1, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, stream string")
