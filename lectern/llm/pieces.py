@@ -25,9 +25,15 @@ from pyspark.sql import functions as F
 SEED = 42
 #: Share of candidate merges that are skipped, and segmentations a word may have in one run.
 RATE, STREAMS = 0.1, 4
-#: Segmented words a worker remembers: this many new ones, and as many of those before.
-REMEMBERED = 400_000
+#: Segmented words a worker remembers for each stream: this many new ones and parts, and as many of those before.
+REMEMBERED = 150_000
 SPACE = "▁"
+#: Places in one agenda.
+PLACES = 1 << 20
+#: Words up to this length have their agenda in a plain list.
+SHORT, NONE = 32, 1 << 62
+#: Multiplying by a word's odd key, modulo 2**64, hashes the merges of the word.
+FULL = (1 << 64) - 1
 
 
 def default_model() -> str:
@@ -35,6 +41,23 @@ def default_model() -> str:
     return os.environ.get("LECTERN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+class Memory:
+    """Segmented words and parts of words of one stream, in two generations."""
+
+    def __init__(self, seed: int, stream: int, rate: float) -> None:
+        self.setting = (seed, stream, rate)
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.words) > REMEMBERED:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.old_parts = {}, self.parts
+
+
 class Vocabulary:
     """Pieces and scores of a BPE model with byte fallback."""
 
@@ -63,50 +86,131 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in long)
         alone = "".join(re.escape(c) for c in sorted(joined) if c != SPACE)
         self.cut = re.compile("(?s:.+)") if inner else re.compile(f"{SPACE}*[{alone}]+|{SPACE}+|[^{alone}{SPACE}]")
-        self.memory: list[dict] = [{}, {}]
+        self.pairs = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
+        self.ranked = sorted(self.score, key=lambda p: (-self.score[p], self.id[p]))
+        self.rank = {p: r for r, p in enumerate(self.ranked)}
+        self.packed = {p: np.int32(i).tobytes() for p, i in self.id.items()}
+        self.packed_byte = [np.int32(i).tobytes() for i in self.byte]
+        # lines can be encoded apart if no piece joins a newline to anything
+        self.newline = None if "\n" in joined or inner else self.ids("\n", 0, 0, 0.0)
+        self.memory: dict[int, Memory] = {}
 
     def merge(self, word: str, seed: int = 0, stream: int = 0, rate: float = 0.0) -> list[str]:
-        """Pieces of one word, best merges first."""
-        if word in self.score and rate == 0 and len(word) == 1:
-            return [word]
-        score = self.score
+        """Pieces of one word, best merges first.
+
+        The agenda holds a merge as its piece's rank among all scores and its place, in
+        one number.
+        """
+        n = len(word)
+        if n <= SHORT:
+            return self.merge_short(word, seed, stream, rate)
+        if n > PLACES:  # cannot be told apart by place; far longer than any piece
+            return [x for k in range(0, n, PLACES) for x in self.merge(word[k : k + PLACES], seed, stream, rate)]
+        rank, piece = self.rank, self.ranked
         sym: list[str | None] = list(word)
-        n = len(sym)
+        agenda = [r * PLACES + i for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+        if not agenda:
+            return sym
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        agenda = [(-score[p], i, p) for i in range(n - 1) if (p := word[i : i + 2]) in score]
         heapq.heapify(agenda)
         below = int(rate * 2**64)
         pop, push = heapq.heappop, heapq.heappush
         if below:
-            key = xxhash.xxh64(f"{seed}:{stream}:{word}".encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFF).intdigest()
+            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL) | 1
         while agenda:
-            _, i, p = pop(agenda)
+            r, i = divmod(pop(agenda), PLACES)
+            p = piece[r]
             left = sym[i]
             if left is None or (j := after[i]) >= n or left + sym[j] != p:
                 continue  # one side has been merged meanwhile
-            if below and xxhash.xxh64_intdigest(f"{i}:{len(left)}:{len(p)}", key) < below:
+            if below and key * (i << 40 | len(left) << 20 | len(p)) & FULL < below:
                 continue
             sym[i], sym[j] = p, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (q := p + sym[k]) in score:
-                    push(agenda, (-score[q], i, q))
+                if (r := rank.get(p + sym[k])) is not None:
+                    push(agenda, r * PLACES + i)
             h = before[i]
-            if h >= 0 and (q := sym[h] + p) in score:
-                push(agenda, (-score[q], h, q))
+            if h >= 0 and (r := rank.get(sym[h] + p)) is not None:
+                push(agenda, r * PLACES + h)
         return [s for s in sym if s is not None]
 
+    def merge_short(self, word: str, seed: int, stream: int, rate: float) -> list[str]:
+        """The same for a word whose agenda is a short list in order of place."""
+        rank, piece = self.rank, self.ranked
+        if len(word) == 1:
+            return [word]
+        sym = list(word)
+        agenda = [rank.get(a + b, NONE) for a, b in zip(word, word[1:], strict=False)]
+        starts = list(range(len(word)))
+        below = int(rate * 2**64)
+        if below:
+            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL) | 1
+        while agenda and (r := min(agenda)) != NONE:
+            i = agenda.index(r)
+            p = piece[r]
+            if below and key * (starts[i] << 40 | len(sym[i]) << 20 | len(p)) & FULL < below:
+                agenda[i] = NONE
+                continue
+            sym[i] = p
+            del sym[i + 1], starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank.get(p + sym[i + 1], NONE)
+            if i:
+                agenda[i - 1] = rank.get(sym[i - 1] + p, NONE)
+        return sym
+
+    def parts(self, word: str) -> list[str]:
+        """``word`` cut wherever two characters stand together in no piece, as no merge can cross there."""
+        pairs, out, at = self.pairs, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
+        return out
+
     def ids(self, word: str, seed: int, stream: int, rate: float) -> bytes:
         """The ids of one word as 32-bit integers; characters without a piece become their bytes."""
-        out: list[int] = []
-        for p in self.merge(word, seed, stream, rate):
-            if (i := self.id.get(p)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte[b] for b in p.encode("utf-8", "surrogatepass"))
-        return np.array(out, np.int32).tobytes()
+        known = self.packed
+        pieces = self.merge(word, seed, stream, rate) if len(word) > SHORT else self.merge_short(word, seed, stream, rate)
+        try:
+            return b"".join([known[p] for p in pieces])
+        except KeyError:
+            return b"".join([known[p] if p in known else b"".join([self.packed_byte[b] for b in p.encode("utf-8", "surrogatepass")]) for p in pieces])
+
+    def run(self, text: str, m: Memory) -> bytes:
+        """The ids of a text in which spaces are U+2581, by its words and their parts."""
+        out = []
+        for word in self.cut.findall(text):
+            for p in self.parts(word):
+                got = m.parts.get(p) or m.old_parts.get(p)
+                if got is None:
+                    got = self.ids(p, *m.setting)
+                    if len(p) < 64:
+                        m.parts[p] = got
+                out.append(got)
+        return b"".join(out)
+
+    def line(self, line: str, first: bool, m: Memory) -> list[bytes]:
+        """The ids of a line. A word stands for itself and the space before it; one that begins a later line is marked by a newline."""
+        words = line.split(" ")
+        if "" in words:  # spaces that follow each other or end the line
+            return [self.run((SPACE if first else "") + line.replace(" ", SPACE), m)] if line or first else []
+        if not first:
+            words[0] = "\n" + words[0]
+        got = list(map(m.words.get, words))
+        if None in got:
+            for i, x in enumerate(got):
+                if x is None:
+                    w = words[i]
+                    x = m.words.get(w) or m.old_words.get(w) or self.run(w[1:] if w[0] == "\n" else SPACE + w, m)
+                    if len(w) < 64:
+                        m.words[w] = x
+                    got[i] = x
+        return got
 
     def encode(self, text: str | None, seed: int = SEED, stream: int = 0, rate: float = 0.0) -> np.ndarray:
         """Ids of a text; none for an empty or null one.
@@ -116,24 +220,21 @@ class Vocabulary:
         """
         if not text:
             return np.zeros(0, np.int32)
-        if len(self.memory[0]) > REMEMBERED:
-            self.memory = [{}, self.memory[0]]
-        (memory, older), out = self.memory, []
-        mark = chr(stream % 0xD800)
-        raw = text.split(SPACE)
-        literal = b"".join(np.int32(self.byte[b]).tobytes() for b in SPACE.encode())
-        for k, part in enumerate(raw):
+        m = self.memory.get(stream)
+        if m is None or m.setting != (seed, stream, rate):
+            m = self.memory[stream] = Memory(seed, stream, rate)
+        m.age()
+        out: list[bytes] = []
+        for k, part in enumerate(text.split(SPACE)):
             if k:
-                out.append(literal)
-            for w in self.cut.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)):
-                got = memory.get(key := mark + w)
-                if got is None:
-                    got = older.get(key)
-                    if got is None:
-                        got = self.ids(w, seed, stream, rate)
-                    if len(w) < 64:
-                        memory[key] = got
-                out.append(got)
+                out += [self.packed_byte[b] for b in SPACE.encode()]
+            if self.newline is None:
+                out.append(self.run(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE), m))
+                continue
+            for i, line in enumerate(part.split("\n")):
+                if i:
+                    out.append(self.newline)
+                out += self.line(line, not (k or i), m)
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
