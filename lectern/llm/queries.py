@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lines, mixing, passages, pieces, private, quality, vectors, warc
+from lectern.llm import images, lines, mixing, passages, pieces, private, quality, vectors, warc
 from lectern.llm.common import table
 from lectern.llm.simhash import simhash_components
 
@@ -40,6 +40,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.search_rendered(table(spark, sf_dir, "embeddings"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.repeated_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").alias("n_dropped"), F.sha2(F.array_join(F.col("dropped").cast("array<string>"), ","), 256).alias("dropped_sha256"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_private": op3_private,
     "op4_vectors": op4_vectors,
     "op5_quality": op5_quality,
+    "op6_images": op6_images,
     "op7_lines": op7_lines,
     "op8_warc": op8_warc,
     "op9_pieces": op9_pieces,
