@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
@@ -27,6 +27,8 @@ CORNER = 40.0
 #: Bits in which matching descriptors may differ, cell of a vote in pixels, and corners that must agree.
 MAX_BITS, CELL, AGREEING = 24, 16, 6
 SIDE, SEED = 96, 42
+#: Query images whose tables are held at once.
+BLOCK = 2000
 
 
 def _pattern() -> np.ndarray:
@@ -150,6 +152,9 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
+CORNERS = np.dtype([("y", "<f4"), ("x", "<f4"), ("scale", "u1"), ("turn", "u1"), ("words", "<i8", (TABLES,))])
+
+
 def _descriptors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         by_shape: dict[tuple, list] = {}
@@ -160,64 +165,120 @@ def _descriptors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shape, some in by_shape.items():
             step = max(1, 600_000 // (shape[0] * shape[1]))
             for a in range(0, len(some), step):
-                keys = np.array([k for k, _ in some[a : a + step]], np.int64)
                 d = describe(np.stack([x for _, x in some[a : a + step]]))
-                yield pd.DataFrame({"key": keys[d["image"].astype(np.int64)], "y": d["y"], "x": d["x"], "scale": d["scale"], "turn": d["turn"], **{f"w{j}": d["words"][:, j] for j in range(TABLES)}})
-
-
-KIND = "key long, y double, x double, scale int, turn int, w0 long, w1 long"
+                c = np.zeros(len(d["image"]), CORNERS)
+                for f in CORNERS.names:
+                    c[f] = d[f]
+                cut = np.searchsorted(d["image"][order := np.argsort(d["image"], kind="stable")], np.arange(len(some[a : a + step]) + 1))
+                c = c[order]
+                yield pd.DataFrame({"key": [k for k, _ in some[a : a + step]], "corners": [c[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(key, y, x, scale, turn, w0, w1) of every corner of (key, image) rows."""
-    return images.select("key", "image").mapInPandas(_descriptors, KIND)
-
-
-def votes(pairs: DataFrame) -> DataFrame:
-    """(query, key, corners) of images whose matched corners agree on one shift, turn and scale.
-
-    Cells overlap by half, so that what agrees is never divided.
-    """
-    ratio = F.pow(F.lit(2.0), F.col("scale") - F.col("q_scale"))
-    turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
-    angle = turn * (2 * np.pi / TURNS)
-    ty = F.col("y") - ratio * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))
-    tx = F.col("x") - ratio * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))
-    near = lambda v: F.array(F.floor(v / CELL).cast("int"), F.floor(v / CELL).cast("int") + 1)
-    cells = pairs.select("query", "key", "corner", (F.col("scale") - F.col("q_scale")).alias("zoom"), F.explode(F.array(turn, F.pmod(turn + 1, F.lit(TURNS)))).alias("turned"), near(ty).alias("ys"), near(tx).alias("xs"))
-    cells = cells.withColumn("cy", F.explode("ys")).withColumn("cx", F.explode("xs"))
-    agreed = cells.groupBy("query", "key", "zoom", "turned", "cy", "cx").agg(F.countDistinct("corner").alias("n"))
-    return agreed.groupBy("query", "key").agg(F.max("n").alias("corners")).where(F.col("corners") >= AGREEING)
-
+    """(key, corners) of (key, image) rows: an array of CORNERS for each readable image."""
+    return images.select("key", "image").mapInPandas(_descriptors, "key long, corners binary")
+
+
+def _stacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All corners of some images, and the row each belongs to."""
+    each = [np.frombuffer(c, CORNERS) for c in rows["corners"]]
+    return (np.concatenate(each) if each else np.zeros(0, CORNERS)), np.repeat(np.arange(len(each)), [len(c) for c in each])
+
+
+class Index:
+    """Hamming tables over the corners of a block of query images."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.keys = rows["key"].to_numpy(np.int64)
+        self.corners, self.image = _stacked(rows)
+        self.order = [np.argsort(self.corners["words"][:, t], kind="stable") for t in range(TABLES)]
+        self.sorted = [self.corners["words"][o, t] for t, o in enumerate(self.order)]
+
+    def matches(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query corner, corner) pairs near each other, each once though it may be in several tables."""
+        out = []
+        for t in range(TABLES):
+            word = corners["words"][:, t]
+            low, high = np.searchsorted(self.sorted[t], word), np.searchsorted(self.sorted[t], word, "right")
+            n = high - low
+            mine = np.repeat(np.arange(len(word)), n)
+            theirs = self.order[t][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            both = self.corners["words"][theirs] ^ corners["words"][mine]
+            on = (np.bitwise_count(both).sum(1) <= MAX_BITS) & (both[:, :t] != 0).all(1)
+            out.append((theirs[on], mine[on]))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+    def agreeing(self, corners: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query image, image, corners) where enough matches agree on one shift, turn and scale.
+
+        Cells overlap by half, so that what agrees is never divided.
+        """
+        i, j = self.matches(corners)
+        q, c = self.corners[i], corners[j]
+        zoom = c["scale"].astype(np.int64) - q["scale"]
+        turn = (c["turn"].astype(np.int64) - q["turn"]) % TURNS
+        ratio, angle = 2.0**zoom, 2 * np.pi * turn / TURNS
+        ty = np.floor((c["y"] - ratio * (np.sin(angle) * q["x"] + np.cos(angle) * q["y"])) / CELL).astype(np.int64)
+        tx = np.floor((c["x"] - ratio * (np.cos(angle) * q["x"] - np.sin(angle) * q["y"])) / CELL).astype(np.int64)
+        pair = self.image[i] * (image.max(initial=0) + 1) + image[j]
+        best: dict[int, int] = {}
+        for a in (0, 1):
+            for b in (0, 1):
+                for r in (0, 1):
+                    votes = np.stack([pair, zoom, (turn + r) % TURNS, ty + a, tx + b, i], 1)
+                    votes = np.unique(votes, axis=0)  # a corner votes once in a cell
+                    first = np.flatnonzero(np.concatenate(([True], (votes[1:, :5] != votes[:-1, :5]).any(1)))) if len(votes) else np.zeros(0, np.int64)
+                    n = np.diff(np.concatenate((first, [len(votes)])))
+                    for k, m in zip(votes[first[n >= AGREEING], 0].tolist(), n[n >= AGREEING].tolist(), strict=True):
+                        best[k] = max(best.get(k, 0), m)
+        got = np.array(sorted(best.items()), np.int64).reshape(-1, 2)
+        width = image.max(initial=0) + 1
+        return got[:, 0] // width, got[:, 0] % width, got[:, 1]
+
+
+def _search(index):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = index.value
+        step = max(1, 2_000 // max(1, len(block.keys)) * 8)
+        for p in parts:
+            for a in range(0, len(p), step):
+                some = p.iloc[a : a + step]
+                q, k, n = block.agreeing(*_stacked(some))
+                yield pd.DataFrame({"query": block.keys[q], "key": some["key"].to_numpy()[k], "corners": n})
 
-def _apart() -> Column:
-    bits = [F.bit_count(F.col(f"w{j}").bitwiseXOR(F.col(f"q{j}"))) for j in range(TABLES)]
-    return sum(bits[1:], bits[0])
+    return run
 
 
 def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """(query, n_copies, best, classes): for each query image, the images it is a copy of, or that are copies of it.
 
     Both tables have (id_col, image_col). Equal images form a class, named by its
-    smallest id, and are indexed once: ``classes`` lists the classes found, n_copies
+    smallest id, and are searched once: ``classes`` lists the classes found, n_copies
     counts their members, ``best`` is the class that most corners agree on (the
     smallest on a tie; null if there is none). Every query has one row for each of its
     rows; null, empty and damaged images have no corners and find nothing. Rows with a
     null id are left out. Other columns are ignored.
+
+    The queries go in blocks of about BLOCK images, dealt by hash, against all images:
+    an image's corners never part, so that tables and votes stay within a task and only
+    what agrees leaves it.
     """
-    own = images.where(F.col(id_col).isNotNull() & F.col(image_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image"))
-    classes = own.groupBy(F.sha2("image", 256).alias("hash")).agg(F.min("id").alias("key"), F.count("*").alias("members"))
-    classes = materialise(classes, "image-classes")
-    firsts = own.select("id", "image", F.sha2("image", 256).alias("own_hash")).join(classes, (F.col("own_hash") == F.col("hash")) & (F.col("id") == F.col("key"))).dropDuplicates(["hash"]).select("key", "image")
+    spark = images.sparkSession
+    own = images.where(F.col(id_col).isNotNull() & F.col(image_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(image_col).alias("image"))
+    hashes = materialise(own.select("key", F.sha2("image", 256).alias("hash")), "image-hashes")
+    classes = materialise(hashes.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("members")), "image-classes")
+    copies = hashes.join(classes.where("members > 1"), "hash").where("key <> first").select("key").distinct()
+    copies = materialise(copies, "image-copies")  # written, so that its size decides how it is joined
+    mine = materialise(descriptors(own).join(copies, "key", "left_anti"), "image-corners")
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(image_col).alias("image"))
-    q = descriptors(asked).withColumn("corner", F.xxhash64("y", "x", "scale"))
-    q = q.select(F.col("key").alias("query"), F.col("y").alias("q_y"), F.col("x").alias("q_x"), F.col("scale").alias("q_scale"), F.col("turn").alias("q_turn"), "corner", *[F.col(f"w{j}").alias(f"q{j}") for j in range(TABLES)])
-    in_tables = lambda df, w: df.select("*", F.posexplode(F.array(*[F.col(f"{w}{j}") for j in range(TABLES)])).alias("table", "word"))
-    asked_in = materialise(in_tables(q.distinct(), "q"), "image-queries")
-    matched = in_tables(descriptors(firsts), "w").join(asked_in, ["table", "word"]).where(_apart() <= MAX_BITS)
-    # a pair may meet in several tables; it counts in the first where it does
-    first = F.array_position(F.array(*[F.col(f"w{j}") == F.col(f"q{j}") for j in range(TABLES)]), True) - 1
-    found = votes(matched.where(F.col("table") == first)).join(classes.select("key", "members"), "key")
+    block = materialise(descriptors(asked), "image-queries")
+    blocks = max(1, -(-block.count() // BLOCK))
+    found = None
+    for b in range(blocks):
+        index = spark.sparkContext.broadcast(Index(block.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toPandas()))
+        some = materialise(mine.mapInPandas(_search(index), "query long, key long, corners long"), "image-found")
+        found = some if found is None else found.unionByName(some)
+    found = found.groupBy("query", "key").agg(F.max("corners").alias("corners")).join(classes.select(F.col("first").alias("key"), "members"), "key")
     best = F.max_by("key", F.struct("corners", -F.col("key")))
     answers = found.groupBy("query").agg(F.sum("members").alias("n_copies"), best.alias("best"), F.sort_array(F.collect_list("key")).alias("classes"))
     a = asked.select(F.col("key").alias("q")).join(answers, F.col("q") == F.col("query"), "left")
