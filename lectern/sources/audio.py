@@ -25,6 +25,11 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return d.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def header_duration(data: bytes | None) -> float | None:
     """Frames over rate of a WAV's header; None for what is not one."""
     try:
@@ -43,18 +48,12 @@ def durations(files: DataFrame) -> DataFrame:
 def duration_or_zero(rows: DataFrame, path_col: str = "audio_filepath") -> DataFrame:
     """``rows`` with missing durations taken from the files' headers, 0 where there is no readable file."""
     spark = rows.sparkSession
-    missing = [r[0] for r in rows.where("duration is null").select(path_col).distinct().limit(1).collect()]
-    if not missing:
-        return rows
     folder = F.regexp_extract(F.col(path_col), "^(.*)/[^/]*$", 1)
-    folders = [r[0] for r in rows.where("duration is null").select(folder.alias("f")).distinct().collect() if r[0]]  # folders, not files
-    try:
-        known = durations(read_files(spark, folders)) if folders else None
-        found = rows.join(known.select(F.col("path").alias("_path"), F.col("duration").alias("_duration")), F.col(path_col) == F.col("_path"), "left") if known is not None else rows.withColumn("_duration", F.lit(None).cast("double"))
-    except Exception as e:  # a folder that does not exist
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        found = rows.withColumn("_duration", F.lit(None).cast("double"))
+    folders = [r[0] for r in rows.where("duration is null").select(folder.alias("f")).distinct().collect() if r[0] and exists(spark, r[0])]  # folders, not files
+    if not folders:
+        return rows.withColumn("duration", F.coalesce("duration", F.lit(0.0)))
+    known = durations(read_files(spark, folders)).select(F.col("path").alias("_path"), F.col("duration").alias("_duration"))
+    found = rows.join(known, F.col(path_col) == F.col("_path"), "left")
     return found.withColumn("duration", F.coalesce("duration", "_duration", F.lit(0.0))).drop("_path", "_duration")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -25,7 +26,7 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted((s.getPath().toString() for s in found or ()), key=lambda p: p.split("/"))
+    return sorted((re.sub("^file:/+", "/", s.getPath().toString()) for s in found or ()), key=lambda p: p.split("/"))
 
 
 def _first(spark: SparkSession, what: str, *patterns: str) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +39,12 @@ def read_passages(spark: SparkSession, path: str) -> DataFrame:
 
     A byte order mark, blank lines, lines of one field and further fields are dropped.
     """
-    data = spark.read.format("binaryFile").load(path).select("content").first()["content"]  # a small dimension by contract
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])  # a small dimension by contract
     for encoding in ENCODINGS:
         try:
-            bytes(data).decode(encoding)
+            text = data.decode(encoding)
         except UnicodeDecodeError:
             continue
         break
-    charset = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
-    rows = spark.read.csv(path, schema=_text("raw_num", "passage_text", "_rest"), header=False, encoding=charset, multiLine=True, escape='"', mode="PERMISSIVE")
-    return rows.select(F.regexp_replace("raw_num", "^\\uFEFF", "").alias("raw_num"), "passage_text").where("raw_num is not null and passage_text is not null")
+    rows = [r[:2] for r in csv.reader(io.StringIO(text.removeprefix("\ufeff"))) if len(r) > 1]
+    return spark.createDataFrame(rows, _text("raw_num", "passage_text"))
