@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import batch
+
 #: The penalties of an insertion, a deletion and a substitution.
 INSERT, DELETE, SUBSTITUTE = 3, 3, 4
 FINE = ("sub", "ins", "del")
@@ -108,14 +110,14 @@ def fine_counts(steps: Sequence[tuple]) -> tuple[int, ...]:
     return tuple(out)
 
 
-def placed_errors(canonical: Sequence, other: Sequence) -> list[tuple[int, str]]:
+def placed_errors(canonical: Sequence, other: Sequence, ops: str | None = None) -> list[tuple[int, str]]:
     """(place, tag) of each error: s and d at the canonical token, i at a place that deletions do not advance."""
     if not canonical:
         return []
     if not other:
         return [(k, "d") for k in range(len(canonical))]
     out, token, place = [], 0, 0
-    for op in tags(canonical, other):
+    for op in tags(canonical, other) if ops is None else ops:
         if op != "c":
             out.append((place if op == "i" else token, op))
         token += op != "i"
@@ -123,9 +125,9 @@ def placed_errors(canonical: Sequence, other: Sequence) -> list[tuple[int, str]]
     return out
 
 
-def placed_counts(canonical: Sequence, truth: Sequence, test: Sequence) -> tuple[int, ...]:
+def placed_counts(canonical: Sequence, truth: Sequence, test: Sequence, ops: tuple[str | None, str | None] = (None, None)) -> tuple[int, ...]:
     """(tp, fp, fn) for s, d and i, comparing sets of placed errors."""
-    a, b = set(placed_errors(canonical, truth)), set(placed_errors(canonical, test))
+    a, b = set(placed_errors(canonical, truth, ops[0])), set(placed_errors(canonical, test, ops[1]))
     out = []
     for k in "sdi":
         x, y = {e for e in a if e[1] == k}, {e for e in b if e[1] == k}
@@ -151,19 +153,14 @@ def scores(can: Column, ref: Column, hyp: Column) -> Column:
     """
 
     def run(cans: pd.Series, refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        done: dict[tuple, tuple] = {}
-        out = []
-        for key in zip(cans, refs, hyps, strict=True):
-            if key not in done:
-                c, r, h = ((x or "").split() for x in key)
-                true, pred = tags(c, r), tags(c, h)
-                meta = tags(true, pred)
-                done[key] = (
-                    *unit_counts(r, h), *unit_counts(c, r), *unit_counts(c, h), true, pred, meta,
-                    meta.count("s"), meta.count("d"), meta.count("i"), meta.count("c"), len(true), *fine_counts(paired(true, pred, meta)),
-                )
-            out.append(done[key])
-        return pd.DataFrame(out, columns=UNIT + META)
+        keys = list(zip(cans, refs, hyps, strict=True))
+        place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        c, r, h = ([(k[x] or "").split() for k in place] for x in range(3))
+        true, pred = batch.tags(c, r), batch.tags(c, h)
+        meta = batch.tags(true, pred)
+        counts = zip(batch.unit_counts(r, h), batch.unit_counts(c, r), batch.unit_counts(c, h), true, pred, meta, strict=True)
+        rows = [(*a, *b, *d, t, p, m, m.count("s"), m.count("d"), m.count("i"), m.count("c"), len(t), *fine_counts(paired(t, p, m))) for a, b, d, t, p, m in counts]
+        return pd.DataFrame([rows[place[k]] for k in keys], columns=UNIT + META)
 
     return F.pandas_udf(run, _struct(UNIT + META))(can, ref, hyp)
 
@@ -172,7 +169,7 @@ def error_counts(truth: Column, test: Column) -> Column:
     """Struct of S, D, I, C and N of a unit-cost alignment of normalised texts."""
 
     def run(truths: pd.Series, tests: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([unit_counts((a or "").split(), (b or "").split()) for a, b in zip(truths, tests, strict=True)], columns=list("SDICN"))
+        return pd.DataFrame(batch.unit_counts([(a or "").split() for a in truths], [(b or "").split() for b in tests]), columns=list("SDICN"))
 
     return F.pandas_udf(run, _struct(list("SDICN")))(truth, test)
 
@@ -181,7 +178,7 @@ def tag_sequence(truth: Column, test: Column, insert: int = INSERT, delete: int
     """The weighted aligner's tags as a text, for normalised texts."""
 
     def run(truths: pd.Series, tests: pd.Series) -> pd.Series:
-        return pd.Series([tags((a or "").split(), (b or "").split(), insert, delete, substitute) for a, b in zip(truths, tests, strict=True)], dtype=object)
+        return pd.Series(batch.tags([(a or "").split() for a in truths], [(b or "").split() for b in tests], insert, delete, substitute), dtype=object)
 
     return F.pandas_udf(run, "string")(truth, test)
 
@@ -190,7 +187,8 @@ def placed_scores(can: Column, ref: Column, hyp: Column) -> Column:
     """Struct of tp, fp and fn by kind of placed error, for texts as they are."""
 
     def run(cans: pd.Series, refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([placed_counts(*((x or "").split() for x in row)) for row in zip(cans, refs, hyps, strict=True)], columns=PLACED)
+        c, r, h = ([(x or "").split() for x in some] for some in (cans, refs, hyps))
+        return pd.DataFrame([placed_counts(*row[:3], row[3:]) for row in zip(c, r, h, batch.tags(c, r), batch.tags(c, h), strict=True)], columns=PLACED)
 
     return F.pandas_udf(run, _struct(PLACED))(can, ref, hyp)
 

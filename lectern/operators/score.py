@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions import rates
-from lectern.functions.align import FINE, META, PLACED, UNIT, error_counts, placed_scores, scores, tag_sequence, tags
-from lectern.functions.align import fine_counts, paired
-from lectern.functions.paths import CATEGORIES, category, macro_and_sub
+from lectern.functions import batch, rates
+from lectern.functions.align import FINE, META, PLACED, error_counts, fine_counts, paired, placed_scores, scores
+from lectern.functions.paths import category, macro_and_sub
 from lectern.functions.text import is_blank, normalize, normalize_ascii
 from lectern.operators.segments import group_texts
 
@@ -75,12 +74,9 @@ def fine_v1(can: Column, ref: Column, hyp: Column) -> Column:
     fields = ["S", "D", "I", "C", "N", *[f"{k}_{x}" for k in FINE for x in ("tp", "fp", "fn")]]
 
     def run(cans: pd.Series, refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        out = []
-        for row in zip(cans, refs, hyps, strict=True):
-            c, r, h = ((x or "").split() for x in row)
-            true, pred = tags(c, r), tags(c, h)
-            meta = tags(true, pred)
-            out.append((meta.count("s"), meta.count("d"), meta.count("i"), meta.count("c"), len(true), *fine_counts(paired(true, pred, meta))))
+        c, r, h = ([(x or "").split() for x in some] for some in (cans, refs, hyps))
+        true, pred = batch.tags(c, r), batch.tags(c, h)
+        out = [(m.count("s"), m.count("d"), m.count("i"), m.count("c"), len(t), *fine_counts(paired(t, p, m))) for t, p, m in zip(true, pred, batch.tags(true, pred), strict=True)]
         return pd.DataFrame(out, columns=fields)
 
     kind = T.StructType([T.StructField(f, T.LongType()) for f in fields])
@@ -126,5 +122,3 @@ def with_categories(scored: DataFrame) -> DataFrame:
     c = macro_and_sub(F.col("audio_type"))
     return scored.withColumns({"macro_category": c["macro"], "sub_category": c["sub"]})
 
-
-__all__ = ["CATEGORIES", "KEPT", "UNIT", "fine_v1", "score_rows", "score_rows_v1", "tag_sequence", "unscored", "with_advanced", "with_categories"]

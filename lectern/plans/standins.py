@@ -36,6 +36,7 @@ ROLE_TYPES = {"user": "passage_num1", "assistant": "syllables_grid_1", "system":
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(learner_id, audio_file, audio_type, canonical_text, ref_text, hyp_text, ord): one row for each line of each turn."""
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    d = d.repartition(spark.sparkContext.defaultParallelism)  # a table of one file would be scored by one task
     d = d.withColumn("can", tokens(normalize(F.col("line"))))
     kind = F.coalesce(*[F.when(F.col("role") == r, t) for r, t in ROLE_TYPES.items()], F.lit("unknown"))
     return d.select(

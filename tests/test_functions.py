@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.functions import align, paths, rates, text
+from lectern.functions import align, batch, paths, rates, text
 
 CAN, REF, HYP = "ga u la e ka ha".split(), "ga ga u e ka hi hi".split(), "ga u la i ka hi ho".split()
 
@@ -73,6 +73,19 @@ def test_alignments_are_best(truth, test):
         assert s + d + i == cost(truth, test, 1, 1, 1) and c + s + d == n == len(truth) and c + s + i == len(test)
 
 
+@pytest.mark.parametrize("cells", [1, 300, 4_000_000])
+def test_batches_do_as_single_pairs(monkeypatch, cells):
+    monkeypatch.setattr(batch, "CELLS", cells)
+    rng = random.Random(2)
+    some = lambda: [rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 12]))]
+    pairs = [(some(), some()) for _ in range(400)]
+    truths, tests = [a for a, _ in pairs], [b for _, b in pairs]
+    assert batch.tags(truths, tests) == [align.tags(a, b) for a, b in pairs]
+    assert batch.tags(truths, tests, 1, 2, 5) == [align.tags(a, b, 1, 2, 5) for a, b in pairs]
+    assert batch.unit_counts(truths, tests) == [align.unit_counts(a, b) for a, b in pairs]
+    assert batch.tags([], []) == [] and batch.tags([[]], [[]]) == [""]
+
+
 def test_aligners_agree(spark):
     rng = random.Random(1)
     rows = [(k, [rng.choice("abc") for _ in range(rng.randint(0, 8))], [rng.choice("abc") for _ in range(rng.randint(0, 8))]) for k in range(200)]
