@@ -124,8 +124,11 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     adaptive execution splits. Null ends and loops are ignored.
     """
     spark = links.sparkSession
+    # Written before it is reduced, so that no task runs two Python workers at a time.
+    links = materialise(links.select(a, b), "links")
     e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("root"), F.greatest(a, b).alias("node"))
     e = materialise(e.select("node", "root").mapInPandas(_forest, "node long, root long"), "cc")
+    remove(spark, links.scratch_path)
     while True:
         twice = e.groupBy("node").agg(F.countDistinct("root").alias("n")).where("n > 1").select("node")
         chained = e.select("node").join(e.select(F.col("root").alias("node")), "node", "left_semi")

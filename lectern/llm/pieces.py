@@ -26,7 +26,7 @@ SEED = 42
 #: Share of candidate merges that are skipped, and segmentations a word may have in one run.
 RATE, STREAMS = 0.1, 4
 #: Segmented words a worker remembers for each stream: this many new ones and parts, and as many of those before.
-REMEMBERED = 150_000
+REMEMBERED = 125_000
 SPACE = "▁"
 #: Places in one agenda.
 PLACES = 1 << 20
@@ -186,11 +186,13 @@ class Vocabulary:
         out = []
         for word in self.cut.findall(text):
             for p in self.parts(word):
-                got = m.parts.get(p) or m.old_parts.get(p)
+                # a part with a space before it is a word, which has its own place
+                new, old, key = (m.words, m.old_words, p[1:]) if p[0] == SPACE and len(p) > 1 else (m.parts, m.old_parts, p)
+                got = new.get(key) or old.get(key)
                 if got is None:
                     got = self.ids(p, *m.setting)
                     if len(p) < 64:
-                        m.parts[p] = got
+                        new[key] = got
                 out.append(got)
         return b"".join(out)
 
@@ -237,9 +239,13 @@ class Vocabulary:
                 out += self.line(line, not (k or i), m)
         return np.frombuffer(b"".join(out), np.int32)
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for, the added space first."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+        return self.spelled(ids)[1:].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=4)
@@ -295,7 +301,7 @@ def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             out = []
             for i, t, s in zip(p["id"], p["text"], p["stream"], strict=True):
                 ids = v.encode(t, seed, s, rate)
-                out.append((i, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), v.decode(ids) == (t or "")))
+                out.append((i, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), v.spelled(ids)[1:] == (t or "").encode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["id", "n_ids", "ids_sha256", "lossless"])
 
     stream = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(streams)), F.lit(0)).cast("int")
