@@ -25,6 +25,8 @@ from lectern.llm.common import connected_components, materialise, remove, roots
 COSINE = 0.93
 BLOCK = 8
 TILE = 1024
+#: Vectors of a tile that are joined with another tile at a time.
+SLICE = 128
 SEED = 42
 
 
@@ -61,9 +63,8 @@ def slabs_of(vectors: list, cosine: float) -> np.ndarray:
     return np.stack(out, 1).astype(np.int64)
 
 
-def join_tile(x: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def join_tile(x: np.ndarray, turned: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (one of ``left``, one of ``right``) that are linked and belong to ``block``."""
-    turned = rotated(x)
     parts = blocks(x.shape[1])
     share = np.array([(2 - 2 * cosine) * (b - a) / x.shape[1] for a, b in parts]) + 1e-12
     a, b = parts[block]
@@ -87,18 +88,20 @@ def _task(cosine: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, _, block, _, across, i, j = key
         x, side, own = units(rows["vec"].tolist()), rows["side"].to_numpy(), rows["tile"].to_numpy()
-        if across:
-            u, v = join_tile(x, np.flatnonzero(side == 1), np.flatnonzero(side == 2), block, cosine)
-        else:
-            u, v = join_tile(x, np.flatnonzero(own == i), np.flatnonzero(own == j), block, cosine)
-            if i == j:
-                u, v = u[u < v], v[u < v]
+        turned = rotated(x)
+        left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if across else (np.flatnonzero(own == i), np.flatnonzero(own == j))
         rep, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
-        n = np.zeros(len(rep), np.int64)
-        np.add.at(n, u, copies[v])
-        np.add.at(n, v, copies[u])
+        n, every = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        root = every
+        for a in range(0, len(left), SLICE):
+            u, v = join_tile(x, turned, left[a : a + SLICE], right, block, cosine)
+            if not across and i == j:
+                u, v = u[u < v], v[u < v]
+            np.add.at(n, u, copies[v])
+            np.add.at(n, v, copies[u])
+            root = roots(len(rep), np.concatenate((u, every)), np.concatenate((v, root)))
         on = np.flatnonzero(n)
-        return pd.DataFrame({"rep": rep[on], "n": n[on], "root": rep[roots(len(rep), u, v)[on]]})
+        return pd.DataFrame({"rep": rep[on], "n": n[on], "root": rep[root[on]]})
 
     return run
 
