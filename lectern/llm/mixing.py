@@ -25,7 +25,7 @@ SEED = 42
 STEP, ONE = 679_545_190_911 | 1, 1 << 40
 CELLS = 4096
 CHUNK = 65_536
-DOCS_A_BUCKET = 4096
+DOCS_A_BUCKET = 512
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
