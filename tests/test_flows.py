@@ -220,3 +220,22 @@ def test_segments_in_both_profiles(spark, data):
     assert "Mistakes" in sinks.summary_text_v1(summary.global_v1(cat), summary.task_blocks_v1(cat))
     walk = summary.walkthrough(score.score_rows_v1(df).withColumn("ord", F.monotonically_increasing_id())).collect()
     assert len(walk) == 1 and walk[0].HYP.strip()
+
+
+def test_small_rates(spark):
+    pairs = spark.createDataFrame([("a, b. c?", "a b, c?"), ("x", "x")], "t string, h string")
+    got = summary.punctuation_error_rate(pairs, "t", "h").first()
+    assert (got.errors, got.length) == (1, 3) or (got.errors, got.length) == (2, 3)
+    assert summary.corpus_error_rate(pairs, "t", "h", characters=True).first().length == 9
+    assert summary.real_time_factor(spark.createDataFrame([(3.0,), (None,)], "duration double"), 2.0).first().rtfx == 1.5
+    tags = spark.createDataFrame([("u", "ccs"), ("u", "d"), ("v", "")], "k string, tags string")
+    assert sorted(tuple(r) for r in summary.tag_frequencies(tags, "tags", "k").collect()) == [("u", "c", 2), ("u", "d", 1), ("u", "s", 1)]
+    scored = spark.createDataFrame([("l1", "f", "n", 1, 3), ("l1", "m", "s", 2, 3), (None, "f", "n", 1, 4)], "learner_id string, gender string, region string, child_grade int, child_age int")
+    assert tuple(summary.overview(scored).first()) == (3, 1)
+    assert summary.filtered(scored, regions=["n"], genders=["f"], age=3).count() == 1 and summary.filtered(scored).count() == 3
+    assert [r.region for r in summary.options(scored, "region").collect()] == ["n", "s"]
+
+
+def test_missing_columns(spark):
+    with pytest.raises(ValueError, match="C_can_ref"):
+        summary.pair_summary(spark.createDataFrame([(1,)], "S_can_ref int"), "can_ref")
