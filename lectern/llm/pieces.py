@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +31,7 @@ SPACE = "▁"
 PLACES = 1 << 20
 #: Words up to this length have their agenda in a plain list.
 SHORT, NONE = 32, 1 << 62
-#: Multiplying by a word's odd key, modulo 2**64, hashes the merges of the word.
+#: A word's key and a piece's noise, times an odd number for the place, modulo 2**64, hash a merge.
 FULL = (1 << 64) - 1
 
 
@@ -81,13 +80,11 @@ class Vocabulary:
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode("utf-8")
         long = [p for p in self.id if len(p) > 1]
         joined = {c for p in long for c in p}
-        # No piece has a space after another character, nor a character outside ``joined``
-        # next to another: words cut there are encoded alone, with the same result.
+        # If no piece has a space after another character, texts can be cut before spaces.
         inner = any(SPACE in p.lstrip(SPACE) for p in long)
-        alone = "".join(re.escape(c) for c in sorted(joined) if c != SPACE)
-        self.cut = re.compile("(?s:.+)") if inner else re.compile(f"{SPACE}*[{alone}]+|{SPACE}+|[^{alone}{SPACE}]")
         self.pairs = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
         self.ranked = sorted(self.score, key=lambda p: (-self.score[p], self.id[p]))
+        self.noise = [xxhash.xxh64_intdigest(p.encode("utf-8")) for p in self.ranked]
         self.rank = {p: r for r, p in enumerate(self.ranked)}
         self.packed = {p: np.int32(i).tobytes() for p, i in self.id.items()}
         self.packed_byte = [np.int32(i).tobytes() for i in self.byte]
@@ -117,14 +114,14 @@ class Vocabulary:
         below = int(rate * 2**64)
         pop, push = heapq.heappop, heapq.heappush
         if below:
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL) | 1
+            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL)
         while agenda:
             r, i = divmod(pop(agenda), PLACES)
             p = piece[r]
             left = sym[i]
             if left is None or (j := after[i]) >= n or left + sym[j] != p:
                 continue  # one side has been merged meanwhile
-            if below and key * (i << 40 | len(left) << 20 | len(p)) & FULL < below:
+            if below and (key ^ self.noise[r]) * (2 * i + 1) & FULL < below:
                 continue
             sym[i], sym[j] = p, None
             after[i] = k = after[j]
@@ -138,24 +135,23 @@ class Vocabulary:
         return [s for s in sym if s is not None]
 
     def merge_short(self, word: str, seed: int, stream: int, rate: float) -> list[str]:
-        """The same for a word whose agenda is a short list in order of place."""
+        """The same for a short word: its agenda is a list in order of place, and a place counts from the word's end."""
         rank, piece = self.rank, self.ranked
         if len(word) == 1:
             return [word]
         sym = list(word)
         agenda = [rank.get(a + b, NONE) for a, b in zip(word, word[1:], strict=False)]
-        starts = list(range(len(word)))
         below = int(rate * 2**64)
         if below:
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL) | 1
+            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL)
+            noise = self.noise
         while agenda and (r := min(agenda)) != NONE:
             i = agenda.index(r)
-            p = piece[r]
-            if below and key * (starts[i] << 40 | len(sym[i]) << 20 | len(p)) & FULL < below:
+            if below and (key ^ noise[r]) * (2 * (len(sym) - i) + 1) & FULL < below:
                 agenda[i] = NONE
                 continue
-            sym[i] = p
-            del sym[i + 1], starts[i + 1], agenda[i]
+            sym[i] = p = piece[r]
+            del sym[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = rank.get(p + sym[i + 1], NONE)
             if i:
@@ -184,16 +180,15 @@ class Vocabulary:
     def run(self, text: str, m: Memory) -> bytes:
         """The ids of a text in which spaces are U+2581, by its words and their parts."""
         out = []
-        for word in self.cut.findall(text):
-            for p in self.parts(word):
-                # a part with a space before it is a word, which has its own place
-                new, old, key = (m.words, m.old_words, p[1:]) if p[0] == SPACE and len(p) > 1 else (m.parts, m.old_parts, p)
-                got = new.get(key) or old.get(key)
-                if got is None:
-                    got = self.ids(p, *m.setting)
-                    if len(p) < 64:
-                        new[key] = got
-                out.append(got)
+        for p in self.parts(text):
+            # a part with a space before it is a word, which has its own place
+            new, old, key = (m.words, m.old_words, p[1:]) if p[0] == SPACE and len(p) > 1 else (m.parts, m.old_parts, p)
+            got = new.get(key) or old.get(key)
+            if got is None:
+                got = self.ids(p, *m.setting)
+                if len(p) < 64:
+                    new[key] = got
+            out.append(got)
         return b"".join(out)
 
     def line(self, line: str, first: bool, m: Memory) -> list[bytes]:
@@ -205,13 +200,12 @@ class Vocabulary:
             words[0] = "\n" + words[0]
         got = list(map(m.words.get, words))
         if None in got:
-            for i, x in enumerate(got):
-                if x is None:
-                    w = words[i]
-                    x = m.words.get(w) or m.old_words.get(w) or self.run(w[1:] if w[0] == "\n" else SPACE + w, m)
-                    if len(w) < 64:
-                        m.words[w] = x
-                    got[i] = x
+            for i in [i for i, x in enumerate(got) if x is None]:
+                w = words[i]
+                x = m.words.get(w) or m.old_words.get(w) or self.run(w[1:] if w[0] == "\n" else SPACE + w, m)
+                if len(w) < 64:
+                    m.words[w] = x
+                got[i] = x
         return got
 
     def encode(self, text: str | None, seed: int = SEED, stream: int = 0, rate: float = 0.0) -> np.ndarray:

@@ -63,9 +63,19 @@ def test_dropout(vocabulary):
 def test_both_agendas_agree(vocabulary, monkeypatch):
     rng = random.Random(9)
     words = ["▁" + "".join(rng.choice("aehinorstz漢") for _ in range(rng.randint(1, 25))) for _ in range(300)]
-    short = [[vocabulary.merge(w, 5, 1, rate) for rate in (0.0, 0.2, 0.7)] for w in words]
+    short = [vocabulary.merge(w, 5, 1, 0.0) for w in words]
+    cut = [vocabulary.parts(w) for w in words]
     monkeypatch.setattr(pieces, "SHORT", 0)
-    assert short == [[vocabulary.merge(w, 5, 1, rate) for rate in (0.0, 0.2, 0.7)] for w in words]
+    assert short == [vocabulary.merge(w, 5, 1, 0.0) for w in words] == [[p for part in c for p in vocabulary.merge(part)] for c in cut]
+    dropped = [vocabulary.merge(w, 5, 1, 0.3) for w in words]
+    assert dropped != short and ["".join(d) for d in dropped] == words
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_skips_come_at_the_rate(vocabulary, rate):
+    for word in ("he", "in", "▁t", "re"):  # one merge each
+        whole = [vocabulary.merge(word, seed, stream, rate) == [word] for seed in range(1000) for stream in range(3)]
+        assert abs(np.mean(whole) - (1 - rate)) < 0.04
 
 
 def test_frames(spark, vocabulary):
