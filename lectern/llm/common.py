@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+_made: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,9 +26,17 @@ def scratch(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in
     tests on one machine, a folder below the warehouse (which is shared too) is used.
+    It goes when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+        _made.add(path)
+    return path
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
