@@ -47,8 +47,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = sizes.select("source", "source_size", (F.row_number().over(by_name) - 1).alias("k"))
     s = s.withColumn("weight", weights[F.col("k") % len(WEIGHTS)]).withColumn("cap", REPEATS * F.col("source_size"))
     s = s.withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("share", left.cast("double") / F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
+    spent = lambda c: F.coalesce(F.sum(c).over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum("source_size").over(every) - spent("cap")
+    s = s.withColumn("share", left.cast("double") / (F.sum("weight").over(every) - spent("weight")))
     free = F.max(F.when(F.col("share") <= F.col("ratio"), F.col("share"))).over(every)
     s = s.withColumn("target", F.when(F.col("share") > F.col("ratio"), F.col("cap").cast("double")).otherwise(free * F.col("weight")))
     by_k = Window.orderBy("k")
