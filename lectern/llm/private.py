@@ -56,13 +56,15 @@ def _found(text: Column, pattern: str, likely: Column) -> Column:
     What split() leaves between the matches gives their places without counting.
     """
     parts = F.split(text, pattern, -1)
+    # zipped first: an expression inside the function would be worked out anew for each match
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), parts.alias("p"), F.slice(parts, F.lit(2), F.size(parts)).alias("q"))
     rows = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m, i: F.struct(
-            F.length(F.get(parts, i)).cast("long").alias("gap"),
-            m.alias("match"),
-            F.substring(F.get(parts, i), -CONTEXT, CONTEXT).alias("before"),
-            F.substring(F.get(parts, i + 1), 1, 2).alias("after"),
+        F.filter(zipped, lambda z: z["m"].isNotNull()),
+        lambda z: F.struct(
+            F.length(z["p"]).cast("long").alias("gap"),
+            z["m"].alias("match"),
+            F.substring(z["p"], -CONTEXT, CONTEXT).alias("before"),
+            F.substring(z["q"], 1, 2).alias("after"),
         ),
     )
     return F.when(likely & F.regexp_like(text, F.lit(pattern)), rows)
@@ -220,9 +222,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     score = base + F.aggregate(F.col("x"), F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at(weight, f), F.lit(0.0)))
     kept = F.col("strict") & F.col("valid")
     judged = voted.withColumn("kept", kept).withColumn("likely", score > 0)
-    around = Window.partitionBy("row").orderBy("start", "end")
-    ends = F.max(F.when(F.col("kept"), F.col("end"))).over(around.rowsBetween(Window.unboundedPreceding, 0))
-    begins = F.min(F.when(F.col("kept"), F.col("start"))).over(around.rowsBetween(0, Window.unboundedFollowing))
+    # both frames run from the first row, as one that runs to the last is worked out anew for each row
+    before = Window.partitionBy("row").orderBy("start", "end", F.desc("kept")).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("kept")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.max(F.when(F.col("kept"), F.col("end"))).over(before)
+    begins = F.min(F.when(F.col("kept"), F.col("start"))).over(behind)
     judged = judged.withColumn("ends", ends).withColumn("begins", begins)
     clear = (F.coalesce("ends", F.lit(0)) <= F.col("start")) & (F.coalesce("begins", F.col("end")) >= F.col("end"))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
