@@ -10,13 +10,16 @@ same text. Streams make a word's segmentation vary between documents.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,9 @@ SEED = 42
 #: Share of candidate merges that are skipped, and segmentations a word may have in one run.
 RATE, STREAMS = 0.1, 4
 #: Segmented words a worker remembers for each stream: this many new ones and parts, and as many of those before.
-REMEMBERED = 125_000
+REMEMBERED = 100_000
+#: How many of them it keeps from one task to the next.
+KEPT = 20_000
 SPACE = "▁"
 #: Places in one agenda.
 PLACES = 1 << 20
@@ -56,6 +61,11 @@ class Memory:
         if len(self.parts) > REMEMBERED:
             self.parts, self.old_parts = {}, self.parts
 
+    def rest(self) -> None:
+        """Keep what came first, which is what comes often."""
+        self.words, self.old_words = dict(islice(self.words.items(), KEPT)), {}
+        self.parts, self.old_parts = dict(islice(self.parts.items(), KEPT)), {}
+
 
 class Vocabulary:
     """Pieces and scores of a BPE model with byte fallback."""
@@ -233,6 +243,12 @@ class Vocabulary:
                 out += self.line(line, not (k or i), m)
         return np.frombuffer(b"".join(out), np.int32)
 
+    def rest(self) -> None:
+        """Between tasks, when the worker may wait for long or serve another operator."""
+        for m in self.memory.values():
+            m.rest()
+        pa.default_memory_pool().release_unused()
+
     def spelled(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, the added space first."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -248,6 +264,14 @@ def vocabulary(path: str, seed: int, rate: float) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _by_stream(parts: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that their texts alone are Python objects; the words of a stream stay at hand."""
+    for p in parts:
+        order = np.argsort(p["stream"].to_numpy(zero_copy_only=False), kind="stable")
+        for at in range(0, len(order), rows):
+            yield p.take(pa.array(order[at : at + rows]))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE, streams: int = STREAMS) -> DataFrame:
     """(id_col, ids array<int>), one row per input row.
 
@@ -256,17 +280,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     path = model or default_model()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, seed, rate)
-        for p in parts:
-            for at in range(0, len(p), 256):
-                q = p.iloc[at : at + 256]
-                yield pd.DataFrame({"id": q["id"].to_numpy(), "ids": [v.encode(t, seed, s, rate) for t, s in zip(q["text"], q["stream"], strict=True)]})
+        for p in _by_stream(parts):
+            ids = [v.encode(t, seed, s, rate) for t, s in zip(p["text"].to_pylist(), p["stream"].to_pylist(), strict=True)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([p["id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["id", "ids"])
+        v.rest()
 
     stream = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(streams)), F.lit(0)).cast("int")
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), stream.alias("stream"))
     kind = docs.schema[id_col].dataType
-    return d.mapInPandas(run, "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
+    return d.mapInArrow(run, "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -287,18 +312,19 @@ def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     """
     path = model or default_model()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, seed, rate)
-        for p in parts:
-            out = []
-            for i, t, s in zip(p["id"], p["text"], p["stream"], strict=True):
+        for p in _by_stream(parts):
+            sizes, digests, same = [], [], []
+            for t, s in zip(p["text"].to_pylist(), p["stream"].to_pylist(), strict=True):
                 ids = v.encode(t, seed, s, rate)
-                out.append((i, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), v.spelled(ids)[1:] == (t or "").encode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["id", "n_ids", "ids_sha256", "lossless"])
+                sizes.append(len(ids))
+                digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
+                same.append(v.spelled(ids)[1:] == (t or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([p["id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["id", "n_ids", "ids_sha256", "lossless"])
+        v.rest()
 
     stream = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(streams)), F.lit(0)).cast("int")
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), stream.alias("stream"))
     kind = docs.schema[id_col].dataType
-    return d.mapInPandas(run, "id string, n_ids long, ids_sha256 string, lossless boolean").select(F.col("id").cast(kind).alias(id_col), "n_ids", "ids_sha256", "lossless")
+    return d.mapInArrow(run, "id string, n_ids long, ids_sha256 string, lossless boolean").select(F.col("id").cast(kind).alias(id_col), "n_ids", "ids_sha256", "lossless")
