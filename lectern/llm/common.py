@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,12 @@ def word_count(text: Column) -> Column:
     return F.size(ascii_words(text)).cast("long")
 
 
+def few(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow column, of which a few at a time are Python objects."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
+
+
 class Forest:
     """Union-find in which the smallest member is the root."""
 

@@ -19,9 +19,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import few
+
 #: Bounds of the sample the model is fitted on: documents, and lines of each (spread over the whole document).
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 48
 THRESHOLD = 0.3
@@ -210,9 +213,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     model = train(docs, labels, id_col, text_col, label_col)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([score(t, model) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([score(t, model) for t in few(texts)], pa.float64())
 
     return docs.withColumn("quality_score", scored(F.col(text_col)))
 

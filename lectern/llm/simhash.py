@@ -17,12 +17,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import connected_components, materialise, roots
+from lectern.llm.common import connected_components, few, materialise, roots
 
 SEED = 42
 WORDS = 3
@@ -52,9 +53,9 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+@F.arrow_udf(T.LongType())
+def fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) for t in few(texts)], dtype=np.uint64).view(np.int64))
 
 
 def gray_rank(code: Column) -> Column:
