@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,7 +53,6 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             continue
         n, k = len(line), len(words)
         letters = len(_LETTER.findall(line))
-        short = line[:2000]
         rows.append(
             (
                 1.0,
@@ -71,7 +71,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
                 float(line.rstrip()[-1] not in ".!?:\"'"),
                 float(line in seen),
                 float(line == last),
-                min(1.0, len(set(short)) / 40),
+                min(1.0, len(set(line)) / 40),
             )
         )
         sizes.append(n)
@@ -178,6 +178,12 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string")) % FOLDS == 0
 
 
+def neighbours(n: int, key: int) -> slice:
+    """SAMPLE_LINES lines of ``n`` in a row, all if there are fewer, from a place that ``key`` decides."""
+    at = zlib.crc32(str(key).encode()) % max(1, n - SAMPLE_LINES + 1)
+    return slice(at, at + SAMPLE_LINES)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``sample`` labelled documents whose crc32(id) mod 5 is not 0.
 
@@ -197,8 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for i, text, y in zip(p["id"], p["text"], p["y"], strict=True):
                 x = chain_features(line_features(text)[0])
                 if len(x):
-                    at = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_LINES)).astype(int))
-                    out.append((int(i), int(y), x[at].ravel().tolist()))
+                    out.append((int(i), int(y), x[neighbours(len(x), int(i))].ravel().tolist()))
             yield pd.DataFrame(out, columns=["id", "y", "x"])
 
     got = sorted(rows.mapInPandas(features, "id long, y int, x array<double>").collect(), key=lambda r: (r.id, r.x))[: 2 * sample]

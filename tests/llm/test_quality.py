@@ -54,3 +54,13 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.doc_id: r.score for r in quality.scores(docs, none).collect()} == {1: 0.5, 2: 0.0}
     assert quality.scores(docs.limit(0), none).count() == 0
+
+
+def test_whole_lines_and_neighbours():
+    same, varied = "a " * 1200, "a " * 1200 + "bcdefghijklmnopqrstuvwxyz"
+    (x,), (y,) = quality.line_features(same)[0], quality.line_features(varied)[0]
+    assert sum(abs(x - y) > 0.4) == 1  # the distinct characters, at the end of a long line
+    for n in (1, 47, 48, 49, 500):
+        at = np.arange(n)[quality.neighbours(n, 7)]
+        assert len(at) == min(n, quality.SAMPLE_LINES) and (np.diff(at) == 1).all()
+    assert len({quality.neighbours(500, k).start for k in range(50)}) > 30
