@@ -75,6 +75,21 @@ def word_count(text: Column) -> Column:
     return F.size(ascii_words(text)).cast("long")
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """``df`` with each row in one column, ``row``, so that whatever is joined to it clashes with no name."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"))
+
+
+def slide(a: np.ndarray, width: int, f) -> np.ndarray:
+    """f (a minimum or maximum) over each window of ``width``, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        a = f(a[:-step], a[step:])
+        have += step
+    return a
+
+
 def few(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts of an Arrow column, of which a few at a time are Python objects."""
     for at in range(0, len(texts), rows):
