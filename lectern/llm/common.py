@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = "[\\x20\\x09-\\x0D]"
-
+#: Bits of a map of wanted values, at most: 8 MB.
+MAP_BITS = 1 << 26
 
 _made: set[str] = set()
 
@@ -90,6 +93,60 @@ def slide(a: np.ndarray, width: int, f) -> np.ndarray:
     return a
 
 
+def word_hashes(words: list[bytes], known: dict[bytes, int], most: int = 200_000) -> np.ndarray:
+    """64-bit hashes of words; ``known`` remembers up to ``most`` of them."""
+    got = list(map(known.get, words))
+    if None in got:
+        if len(known) > most:
+            known.clear()
+        for i, g in enumerate(got):
+            if g is None:
+                got[i] = known.setdefault(words[i], xxhash.xxh64_intdigest(words[i], 7))
+    return np.array(got, np.uint64)
+
+
+def _marked(column: str, bits: int):
+    """A map in which the bits of a column's values are set."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for p in parts:
+            own[p[column].to_numpy() & (bits - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], ["map"])
+
+    return run
+
+
+def _united(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = None
+    for p in parts:
+        for x in p["map"]:
+            m = np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+            got = m if got is None else got | m
+    if got is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(got.tobytes(), 1)], pa.binary())], ["map"])
+
+
+def bit_map(df: DataFrame, column: str, values: int) -> np.ndarray:
+    """Map of the values of a long column, of MAP_BITS bits at most: some others seem to be in it, none is missing.
+
+    ``values`` is how many there are, roughly. Each task makes a map of its own; 32
+    tasks unite them, and the driver what is left.
+    """
+    bits = 1 << min(MAP_BITS.bit_length() - 1, max(16, (16 * values).bit_length()))
+    some = df.select(column).mapInArrow(_marked(column, bits), "map binary").withColumn("part", F.spark_partition_id() % 32).repartition(32, "part").select("map")
+    got = np.zeros(bits // 8, np.uint8)
+    for r in some.mapInArrow(_united, "map binary").toLocalIterator():
+        got = got | np.frombuffer(zlib.decompress(r["map"]), np.uint8)
+    return got
+
+
+def in_map(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the map has."""
+    at = values.view(np.int64) & (len(known) * 8 - 1)
+    return (known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def few(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts of an Arrow column, of which a few at a time are Python objects."""
     for at in range(0, len(texts), rows):

@@ -8,10 +8,6 @@ neighbours in Gray order become nodes that hold the bits all their members share
 a search adds up the differences from level to level and prunes a node, with
 everything below it, once they pass the limit. A node of the first level has 2**16
 members at most, whatever the data.
-
-:func:`keep_one_similar` goes by similarity instead: texts whose sets of five-word shingles have
-Jaccard similarity 0.8 share one of the first fifth of their shingles in any common
-order, so that what meets there and is verified by the whole sets misses none.
 """
 
 from __future__ import annotations
@@ -27,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import Forest, connected_components, few, materialise, roots
+from lectern.llm.common import boxed, connected_components, few, materialise, remove, roots
 
 SEED = 42
 WORDS = 3
@@ -35,12 +31,6 @@ MAX_BITS = 2
 FAN = 8
 #: Searches of one node that go down the index together.
 QUERIES = 256
-#: Words of a shingle and Jaccard similarity of texts of which :func:`keep_one_similar` leaves one.
-NEAR_WORDS, SIMILARITY = 5, (4, 5)
-#: A shingle that HOT of one text in SAMPLE have comes last in order; at most so many do.
-SAMPLE, HOT, HOTTEST = 32, 8, 1_000_000
-#: Groups up to this size are told as pairs, larger ones in tiles.
-PAIRS, TILE = 8, 256
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -182,128 +172,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def shingles(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles; that of all words for a shorter text."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], np.uint64).view(np.int64))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * SIMILARITY[1] >= (len(a) + len(b) - both) * SIMILARITY[0]
-
-
-@F.arrow_udf(T.BinaryType())
-def _sets(texts: pa.Array) -> pa.Array:
-    return pa.array([shingles(t).tobytes() for t in few(texts)], pa.binary())
-
-
-def _sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in parts:
-        for x in p["own"]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["shingle"])
-
-
-def _prefixes(hot: np.ndarray):
-    """The shingles by which a text meets all that are similar: the first in order, those of ``hot`` last."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            keys, sizes = [np.zeros(0, np.int64)], []
-            for x in p["own"]:
-                own = np.frombuffer(x.as_py(), np.int64)
-                n = len(own)
-                keys.append(own[np.argsort(np.isin(own, hot), kind="stable")[: n - -(-n * SIMILARITY[0] // SIMILARITY[1]) + 1]])
-                sizes.append(n)
-            count = [len(k) for k in keys[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(p["rep"].to_numpy(), count)), pa.array(np.repeat(np.array(sizes, np.int32), count))], ["shingle", "rep", "n"])
-
-    return run
-
-
-def _whole(parts: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Rows that come in order of ``key``, cut only between its values."""
-    held = None
-    for p in parts:
-        held = p if held is None else pd.concat([held, p], ignore_index=True)
-        k = held[key].to_numpy()
-        if last := int(np.searchsorted(k, k[-1])) if len(k) else 0:
-            yield held.iloc[:last]
-            held = held.iloc[last:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held
-
-
-def _bounds(key: np.ndarray) -> tuple[list[int], list[int]]:
-    """Begins and ends of the groups of two rows or more."""
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    end = np.concatenate((begin[1:], [len(key)]))
-    on = end - begin > 1
-    return begin[on].tolist(), end[on].tolist()
-
-
-def _met(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(g, rep) of texts that meet at a shingle and are alike in size; rows come by (shingle, n, rep)."""
-    for rows in _whole(parts, "shingle"):
-        rep, size = rows["rep"].to_numpy(), rows["n"].to_numpy(np.int64)
-        out: list[np.ndarray] = []
-        for x, y in zip(*_bounds(rows["shingle"].to_numpy()), strict=True):
-            step = 1 if y - x <= PAIRS else TILE
-            tiles = [(k, min(k + step, y)) for k in range(x, y, step)]
-            for i, (a, b) in enumerate(tiles):
-                for c, d in tiles[i if step > 1 else i + 1 :]:
-                    if size[c] * SIMILARITY[0] > size[b - 1] * SIMILARITY[1]:
-                        break  # those after are larger still
-                    out.append(np.sort(np.concatenate((rep[a:b], rep[c:d])) if c > a else rep[a:b]))
-        names = np.array([xxhash.xxh64_intdigest(o.tobytes()) for o in out], np.uint64).view(np.int64)
-        yield pd.DataFrame({"g": np.repeat(names, [len(o) for o in out]), "rep": np.concatenate([np.zeros(0, np.int64), *out])})
-
-
-def _similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of the similar texts of each group."""
-    for rows in _whole(parts, "g"):
-        rep, own = rows["rep"].tolist(), [np.frombuffer(x, np.int64) for x in rows["own"]]
-        links: list[tuple[int, int]] = []
-        for x, y in zip(*_bounds(rows["g"].to_numpy()), strict=True):
-            f = Forest()
-            for i in range(x, y):
-                for j in range(i + 1, y):
-                    if f.find(rep[i]) != f.find(rep[j]) and similar(own[i], own[j]):
-                        f.link(rep[i], rep[j])
-            links += [e for e in f.edges() if e[0] != e[1]]
-        got = np.array(links, np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every row with an id: texts of similar shingle sets are linked, null counts as empty."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _sets(F.col(text_col)).alias("own"))
-    own = materialise(own.withColumn("name", F.xxhash64("own")), "shingles")
-    reps = own.groupBy("name").agg(F.min("id").alias("rep"))
-    # an id that several rows share may stand for several sets: sets go by their names
-    sets = own.dropDuplicates(["name"]).select(F.col("name").alias("rep"), "own")
-    sets = materialise(sets, "shingle-sets")
-    counted = sets.where(F.pmod("rep", F.lit(SAMPLE)) == 0).select("own").mapInArrow(_sampled, "shingle long").groupBy("shingle").count().where(F.col("count") >= HOT)
-    hot = np.array([r.shingle for r in counted.orderBy(F.desc("count"), "shingle").limit(HOTTEST).select("shingle").collect()], np.int64)
-    met = sets.mapInArrow(_prefixes(hot), "shingle long, rep long, n int").repartition("shingle").sortWithinPartitions("shingle", "n", "rep")
-    met = materialise(met.mapInPandas(_met, "g long, rep long").distinct(), "shingle-groups")
-    groups = met.hint("merge").join(sets, "rep").repartition("g").sortWithinPartitions("g", "rep")
-    linked = connected_components(groups.mapInPandas(_similar, "a long, b long"), "a", "b")
-    named = reps.join(linked, F.col("name") == F.col("node"), "left").select("name", "rep", F.coalesce("root", "name").alias("root"))
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return own.select("id", "name").join(named.select("name", "root"), "name").join(first, "root").select(F.col("id").alias(id_col), "component_id")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows with a null id stay."""
     found = simhash_components(docs, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
-
-
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component of similar texts; rows with a null id stay."""
-    found = similar_components(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return boxed(docs).join(gone.withColumnRenamed(id_col, "gone"), F.col("row")[id_col].cast("long") == F.col("gone"), "left_anti").select("row.*")

@@ -4,10 +4,9 @@ from collections import Counter
 
 import pytest
 
-from lectern.llm import lines, pieces, quality, simhash
+from lectern.llm import lines, pieces, quality
 from tests.llm.test_lines import plain as plain_lines
-from tests.llm.test_simhash import groups
-from tests.llm.test_simhash import plain as plain_fingerprint
+from tests.llm.test_similar import alike
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.default_model()), reason="no vocabulary here")
@@ -45,8 +44,8 @@ def test_stages(spark, tmp_path):
     kept = list(good.items())
     cut = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone) for (i, t), gone in zip(kept, plain_lines(kept, lines.MAX_EDITS), strict=True)}
     assert states[1] == cut
-    one = set(groups([(i, plain_fingerprint(t)) for i, t in cut.items()], simhash.MAX_BITS).values())
-    assert states[2] == {i: t for i, t in cut.items() if i in one}
+    gone = alike(list(cut.items()))
+    assert states[2] == {i: t for i, t in cut.items() if i not in gone}
     assert set(states[3].items()) <= set(states[2].items()) and states[3]
     again = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: Counter((r.doc_id, tuple(r.ids)) for r in df.collect())

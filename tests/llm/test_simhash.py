@@ -81,21 +81,3 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, None), (7, 7)], "a long, b long").repartition(8)
     got = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
-
-
-def test_keep_one_by_similarity(spark):
-    rng = random.Random(11)
-    rows, near = [], set()
-    for i in range(60):
-        w = [rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(rng.randint(60, 200))]
-        v = list(w)
-        for p in rng.sample(range(len(w)), rng.randint(1, len(w) // 40)):  # each change costs five shingles on either side
-            v[p] = "new"
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
-    rows += [(500, "a b"), (501, "A  b"), (502, "a c"), (503, None), (504, "")]
-    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, t in rows for w in [(t or "").lower().split()]]
-    for n, (_, a) in enumerate(sets):
-        near |= {j for j, b in sets[n + 1 :] if len(a & b) >= 0.8 * len(a | b)}
-    assert 30 < len(near) < 64  # chains would need more than the later of a pair
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in simhash.keep_one_similar(docs).collect()} == near
