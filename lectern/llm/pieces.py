@@ -1,11 +1,18 @@
 """Encode and decode with a SentencePiece BPE vocabulary, with seeded merge-dropout.
 
-Encoding starts from single characters and works off an agenda: the best-scored pair of
-neighbours that forms a piece is merged, the leftmost first on ties, and the merged
-piece's new pairs enter the agenda. With dropout, a candidate is skipped when it comes
-up if a hash of the seed, the stream, the word, its place and its piece falls below the
-rate; so a run can be repeated anywhere, and every rate gives pieces that decode to the
-same text. Streams make a word's segmentation vary between documents.
+A text falls into parts which no piece can join. Encoding a part starts from single
+characters and works off an agenda: the best-scored pair of neighbours that forms a piece
+is merged, the leftmost first on ties, and the merged piece's new pairs enter the agenda.
+With dropout, the k-th candidate that comes up in part i of a document is skipped if a
+hash of the seed, the document, i and k falls below the rate; so a run can be repeated
+anywhere, each occurrence of a word is cut by chances of its own, and every rate gives
+pieces that decode to the same text.
+
+What a part gives depends on the part and on which candidates are skipped alone. For
+parts that come again a worker remembers that as a tree: from the part without skips, a
+branch for each candidate skipped first, and so on. All parts of some documents go down
+their trees together, as far as their hashes say. The agendas of parts that came for the
+first time are worked off side by side, a step of all of them at a time.
 """
 
 from __future__ import annotations
@@ -15,29 +22,30 @@ import heapq
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
-#: Share of candidate merges that are skipped, and segmentations a word may have in one run.
-RATE, STREAMS = 0.1, 4
-#: Segmented words a worker remembers for each stream: this many new ones and parts, and as many of those before.
-REMEMBERED = 100_000
-#: How many of them it keeps from one task to the next.
-KEPT = 20_000
+#: Share of candidate merges that are skipped.
+RATE = 0.1
+#: Nodes of the trees a worker remembers, parts it knows to have come once, and candidates of a part that trees branch on.
+NODES, ONCE, BRANCHES = 200_000, 400_000, 20
+#: Agendas that are worked off side by side.
+ROWS = 4096
+#: Parts and words up to this length are remembered.
+REMEMBERED = 64
 SPACE = "▁"
 #: Places in one agenda.
-PLACES = 1 << 20
-#: Words up to this length have their agenda in a plain list.
-SHORT, NONE = 32, 1 << 62
-#: A word's key and a piece's noise, times an odd number for the place, modulo 2**64, hash a merge.
-FULL = (1 << 64) - 1
+PLACES = 1 << 40
+#: Parts up to this length have their agenda in a plain list.
+SHORT, NONE, AWAY = 32, 1 << 62, (1 << 31) - 1
+#: Fixed values of the hashes.
+FULL, GOLD, MIX, STIR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def default_model() -> str:
@@ -45,26 +53,59 @@ def default_model() -> str:
     return os.environ.get("LECTERN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
-class Memory:
-    """Segmented words and parts of words of one stream, in two generations."""
+def stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(MIX)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(STIR)
+    return x ^ x >> np.uint64(32)
 
-    def __init__(self, seed: int, stream: int, rate: float) -> None:
-        self.setting = (seed, stream, rate)
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
 
-    def age(self) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words, self.old_words = {}, self.words
-        if len(self.parts) > REMEMBERED:
-            self.parts, self.old_parts = {}, self.parts
+def part_hashes(seed: int, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash for each part, of its document's key and its place among the document's parts."""
+    return stirred(stirred(keys ^ np.uint64(seed * GOLD & FULL)) + places * np.uint64(GOLD))
 
-    def rest(self) -> None:
-        """Keep what came first, which is what comes often."""
-        self.words, self.old_words = dict(islice(self.words.items(), KEPT)), {}
-        self.parts, self.old_parts = dict(islice(self.parts.items(), KEPT)), {}
+
+class Skips:
+    """The candidates of a part that are skipped."""
+
+    def __init__(self, part_hash: int, below: int) -> None:
+        self.hash, self.below = part_hash, below
+
+    def __contains__(self, k: int) -> bool:
+        x = self.hash + (k + 1) * GOLD & FULL
+        x = (x ^ x >> 32) * MIX & FULL
+        x = (x ^ x >> 29) * STIR & FULL
+        return (x ^ x >> 32) >> 11 < self.below
+
+
+def chances(hashes: np.ndarray, k: int) -> np.ndarray:
+    """53-bit numbers of the k-th candidates of parts."""
+    return stirred(hashes + np.uint64((k + 1) * GOLD & FULL)) >> np.uint64(11)
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool``, one after the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Pool:
+    """An array that grows."""
+
+    def __init__(self, kind: type, width: int = 0) -> None:
+        self.rows = np.zeros((1024, width) if width else 1024, kind)
+        self.n = 0
+
+    def add(self, values) -> int:
+        n = len(values)
+        while self.n + n > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[self.n : self.n + n] = values
+        self.n += n
+        return self.n - n
+
+
+#: Stands for U+2581 in a text.
+LITERAL = "\x00" + SPACE
 
 
 class Vocabulary:
@@ -94,70 +135,178 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in long)
         self.pairs = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
         self.ranked = sorted(self.score, key=lambda p: (-self.score[p], self.id[p]))
-        self.noise = [xxhash.xxh64_intdigest(p.encode("utf-8")) for p in self.ranked]
         self.rank = {p: r for r, p in enumerate(self.ranked)}
-        self.packed = {p: np.int32(i).tobytes() for p, i in self.id.items()}
-        self.packed_byte = [np.int32(i).tobytes() for i in self.byte]
-        # lines can be encoded apart if no piece joins a newline to anything
-        self.newline = None if "\n" in joined or inner else self.ids("\n", 0, 0, 0.0)
-        self.memory: dict[int, Memory] = {}
+        # lines can be cut apart, and words before their spaces, if no piece joins a newline or has a space inside
+        self.plain = "\n" not in joined and not inner
+        self._pair_table()
+        self.forget()
+
+    def forget(self) -> None:
+        #: Words and parts, where their own parts and nodes begin.
+        self.word: dict[str | tuple[str, ...], int] = {}
+        self.part: dict[str, int] = {}
+        self.word_start, self.word_size, self.word_parts = Pool(np.int64), Pool(np.int64), Pool(np.int32)
+        #: Of each node: its part and the skips that lead to it, candidates that come up, ids, and nodes one skip further.
+        self.node: list[tuple[str, tuple[int, ...]]] = []
+        self.candidates, self.id_start, self.id_size, self.id_pool = Pool(np.int64), Pool(np.int64), Pool(np.int64), Pool(np.int32)
+        self.further = Pool(np.int32, BRANCHES)
+        #: Parts, and branches, that have come once.
+        self.once: set[str] = set()
+        self.tried: set[int] = set()
+
+    def _pair_table(self) -> None:
+        """A hash table of all pairs of symbols that form a piece. A symbol is a piece's rank, or a character that is none, after those."""
+        n = len(self.ranked)
+        self.symbol = np.arange(n, n + 0x110000, dtype=np.int64)
+        for p, r in self.rank.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = r
+        one = lambda x: self.rank[x] if x in self.rank else n + ord(x) if len(x) == 1 else None
+        pairs = {(a, b): r for p, r in self.rank.items() for i in range(1, len(p)) if (a := one(p[:i])) is not None and (b := one(p[i:])) is not None}
+        self.pair_bits = max(4, (6 * len(pairs)).bit_length())
+        self.pair_key = np.full(1 << self.pair_bits, -1, np.int64)
+        self.pair_rank = np.full(1 << self.pair_bits, AWAY, np.int32)
+        left = np.array([a << 21 | b for a, b in pairs], np.int64)
+        ranks = np.array(list(pairs.values()), np.int32)
+        at = self._slot(left)
+        while len(left):
+            free = np.flatnonzero(self.pair_key[at] < 0)
+            own, first = np.unique(at[free], return_index=True)
+            self.pair_key[own], self.pair_rank[own] = left[free[first]], ranks[free[first]]
+            on = self.pair_key[at] != left
+            left, ranks, at = left[on], ranks[on], at[on] + 1 & (1 << self.pair_bits) - 1
+        self.symbol_id = np.array([self.id[p] for p in self.ranked], np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(GOLD)) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces that pairs of symbols form; AWAY if none, or if one is missing (negative)."""
+        keys = a << 21 | b
+        at = self._slot(keys)
+        out = self.pair_rank[at]
+        seen = self.pair_key[at]
+        more = np.flatnonzero((seen != keys) & (seen >= 0))
+        out[seen != keys] = AWAY
+        while len(more):
+            at[more] = at[more] + 1 & (1 << self.pair_bits) - 1
+            seen = self.pair_key[at[more]]
+            met = seen == keys[more]
+            out[more[met]] = self.pair_rank[at[more[met]]]
+            more = more[~met & (seen >= 0)]
+        out[(a < 0) | (b < 0)] = AWAY
+        return out
 
-    def merge(self, word: str, seed: int = 0, stream: int = 0, rate: float = 0.0) -> list[str]:
-        """Pieces of one word, best merges first.
+    def merge_many(self, parts: list[str], hashes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each part) of parts with chances by their hashes, as :meth:`merge` gives them."""
+        size = np.array([len(p) for p in parts], np.int64)
+        pool, start, sizes = Pool(np.int32), np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        order = np.argsort(size, kind="stable")
+        for x in range(0, len(order), ROWS):
+            rows = order[x : x + ROWS]
+            rows = rows[size[rows] <= SHORT]
+            if len(rows):
+                self._side_by_side(parts, rows, size[rows], hashes, below, pool, start, sizes)
+        for i in np.flatnonzero(size > SHORT).tolist():
+            ids = self.ids(self.merge(parts[i], Skips(int(hashes[i]), below))[0])
+            start[i], sizes[i] = pool.add(ids), len(ids)
+        return gathered(pool.rows, start, sizes), sizes
+
+    def _side_by_side(self, parts: list[str], rows: np.ndarray, size: np.ndarray, hashes: np.ndarray, below: int, pool: Pool, start: np.ndarray, sizes: np.ndarray) -> None:
+        wide = int(size.max())
+        chars = np.frombuffer("".join([parts[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        columns = np.arange(wide)
+        sym = np.full((len(rows), wide), -1, np.int64)
+        sym[columns < size[:, None]] = self.symbol[chars]
+        agenda = np.full((len(rows), wide), AWAY, np.int32)
+        agenda[:, :-1] = self._ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(rows), -1)
+        h, k = hashes[rows], 0
+        while len(rows):
+            i = agenda.argmin(1)
+            every = np.arange(len(rows))
+            r = agenda[every, i]
+            done = r == AWAY
+            if done.any():
+                self._tell(sym[done], rows[done], pool, start, sizes)
+                sym, agenda, rows, h, i, r = (x[~done] for x in (sym, agenda, rows, h, i, r))
+                every = np.arange(len(rows))
+            skip = chances(h, k) < np.uint64(below)
+            agenda[every[skip], i[skip]] = AWAY
+            k += 1
+            at = every[~skip]
+            if not len(at):
+                continue
+            i, r = i[at], r[at].astype(np.int64)
+            s, a = sym[at], agenda[at]
+            behind = columns[:-1] > i[:, None]
+            s[:, :-1] = np.where(behind, s[:, 1:], s[:, :-1])
+            s[:, -1] = -1
+            behind |= columns[:-1] == i[:, None]
+            a[:, :-1] = np.where(behind, a[:, 1:], a[:, :-1])
+            every = np.arange(len(at))
+            s[every, i] = r
+            a[every, i] = self._ranks(r, s[every, np.minimum(i + 1, wide - 1)])
+            a[every[i == wide - 1], i[i == wide - 1]] = AWAY
+            on = np.flatnonzero(i > 0)
+            a[on, i[on] - 1] = self._ranks(s[on, i[on] - 1], r[on])
+            sym[at], agenda[at] = s, a
+
+    def _tell(self, sym: np.ndarray, rows: np.ndarray, pool: Pool, start: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.ranked)
+        on = sym >= 0
+        count = on.sum(1)
+        start[rows] = pool.add(self.symbol_id[np.minimum(sym[on], n - 1)]) + np.cumsum(count) - count
+        sizes[rows] = count
+        for x in np.flatnonzero((sym >= n).any(1)).tolist():  # characters without a piece
+            ids = self.ids([self.ranked[y] if y < n else chr(y - n) for y in sym[x, on[x]].tolist()])
+            start[rows[x]], sizes[rows[x]] = pool.add(ids), len(ids)
+
+    def merge(self, word: str, skipped=()) -> tuple[list[str], int]:
+        """(pieces of one part, best merges first; number of candidates that came up). ``skipped`` says ``k in`` it.
 
         The agenda holds a merge as its piece's rank among all scores and its place, in
-        one number.
+        one number; for a short part it is a list in order of place instead.
         """
         n = len(word)
         if n <= SHORT:
-            return self.merge_short(word, seed, stream, rate)
-        if n > PLACES:  # cannot be told apart by place; far longer than any piece
-            return [x for k in range(0, n, PLACES) for x in self.merge(word[k : k + PLACES], seed, stream, rate)]
+            return self.merge_short(word, skipped)
         rank, piece = self.rank, self.ranked
         sym: list[str | None] = list(word)
         agenda = [r * PLACES + i for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
-        if not agenda:
-            return sym
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         heapq.heapify(agenda)
-        below = int(rate * 2**64)
         pop, push = heapq.heappop, heapq.heappush
-        if below:
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL)
+        k = 0
         while agenda:
             r, i = divmod(pop(agenda), PLACES)
             p = piece[r]
             left = sym[i]
             if left is None or (j := after[i]) >= n or left + sym[j] != p:
                 continue  # one side has been merged meanwhile
-            if below and (key ^ self.noise[r]) * (2 * i + 1) & FULL < below:
+            k += 1
+            if k - 1 in skipped:
                 continue
             sym[i], sym[j] = p, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank.get(p + sym[k])) is not None:
+            after[i] = m = after[j]
+            if m < n:
+                before[m] = i
+                if (r := rank.get(p + sym[m])) is not None:
                     push(agenda, r * PLACES + i)
             h = before[i]
             if h >= 0 and (r := rank.get(sym[h] + p)) is not None:
                 push(agenda, r * PLACES + h)
-        return [s for s in sym if s is not None]
+        return [s for s in sym if s is not None], k
 
-    def merge_short(self, word: str, seed: int, stream: int, rate: float) -> list[str]:
-        """The same for a short word: its agenda is a list in order of place, and a place counts from the word's end."""
+    def merge_short(self, word: str, skipped=()) -> tuple[list[str], int]:
         rank, piece = self.rank, self.ranked
-        if len(word) == 1:
-            return [word]
         sym = list(word)
         agenda = [rank.get(a + b, NONE) for a, b in zip(word, word[1:], strict=False)]
-        below = int(rate * 2**64)
-        if below:
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * 1_000_003 + stream & FULL)
-            noise = self.noise
+        k = 0
         while agenda and (r := min(agenda)) != NONE:
             i = agenda.index(r)
-            if below and (key ^ noise[r]) * (2 * (len(sym) - i) + 1) & FULL < below:
+            k += 1
+            if k - 1 in skipped:
                 agenda[i] = NONE
                 continue
             sym[i] = p = piece[r]
@@ -166,87 +315,172 @@ class Vocabulary:
                 agenda[i] = rank.get(p + sym[i + 1], NONE)
             if i:
                 agenda[i - 1] = rank.get(sym[i - 1] + p, NONE)
-        return sym
+        return sym, k
 
     def parts(self, word: str) -> list[str]:
         """``word`` cut wherever two characters stand together in no piece, as no merge can cross there."""
-        pairs, out, at = self.pairs, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                out.append(word[at:i])
-                at = i
-        out.append(word[at:])
-        return out
+        cuts = [i for i, p in enumerate(map(str.__add__, word, word[1:]), 1) if p not in self.pairs]
+        return [word[x:y] for x, y in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
-    def ids(self, word: str, seed: int, stream: int, rate: float) -> bytes:
-        """The ids of one word as 32-bit integers; characters without a piece become their bytes."""
-        known = self.packed
-        pieces = self.merge(word, seed, stream, rate) if len(word) > SHORT else self.merge_short(word, seed, stream, rate)
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        """The ids of pieces; characters without a piece become their bytes."""
+        known = self.id
         try:
-            return b"".join([known[p] for p in pieces])
+            return np.array([known[p] for p in pieces], np.int32)
         except KeyError:
-            return b"".join([known[p] if p in known else b"".join([self.packed_byte[b] for b in p.encode("utf-8", "surrogatepass")]) for p in pieces])
-
-    def run(self, text: str, m: Memory) -> bytes:
-        """The ids of a text in which spaces are U+2581, by its words and their parts."""
-        out = []
-        for p in self.parts(text):
-            # a part with a space before it is a word, which has its own place
-            new, old, key = (m.words, m.old_words, p[1:]) if p[0] == SPACE and len(p) > 1 else (m.parts, m.old_parts, p)
-            got = new.get(key) or old.get(key)
-            if got is None:
-                got = self.ids(p, *m.setting)
-                if len(p) < 64:
-                    new[key] = got
-            out.append(got)
-        return b"".join(out)
-
-    def line(self, line: str, first: bool, m: Memory) -> list[bytes]:
-        """The ids of a line. A word stands for itself and the space before it; one that begins a later line is marked by a newline."""
-        words = line.split(" ")
-        if "" in words:  # spaces that follow each other or end the line
-            return [self.run((SPACE if first else "") + line.replace(" ", SPACE), m)] if line or first else []
-        if not first:
-            words[0] = "\n" + words[0]
-        got = list(map(m.words.get, words))
-        if None in got:
-            for i in [i for i, x in enumerate(got) if x is None]:
-                w = words[i]
-                x = m.words.get(w) or m.old_words.get(w) or self.run(w[1:] if w[0] == "\n" else SPACE + w, m)
-                if len(w) < 64:
-                    m.words[w] = x
-                got[i] = x
-        return got
-
-    def encode(self, text: str | None, seed: int = SEED, stream: int = 0, rate: float = 0.0) -> np.ndarray:
-        """Ids of a text; none for an empty or null one.
-
-        A leading space is added, as the model was trained. A literal U+2581 is kept
-        apart from a space: it goes by its bytes.
+            return np.array([x for p in pieces for x in ([known[p]] if p in known else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")])], np.int32)
+
+    def _node(self, part: str, skipped, name: tuple[int, ...] = ()) -> int:
+        pieces, n = self.merge(part, skipped) if part != LITERAL else ([SPACE], 0)
+        ids = self.ids(pieces) if part != LITERAL else np.array([self.byte[b] for b in SPACE.encode()], np.int32)
+        self.id_start.add([self.id_pool.add(ids)])
+        self.id_size.add([len(ids)])
+        self.candidates.add([n])
+        self.further.add(np.full((1, BRANCHES), -1, np.int32))
+        self.node.append((part, name))
+        return len(self.node) - 1
+
+    def _loose(self, part: str) -> int:
+        """A number for a part that is not remembered, below zero."""
+        self.loose.append(part)
+        return -len(self.loose)
+
+    def _word(self, word: str | tuple[str, ...]) -> list[int]:
+        """The nodes of a word with the space before it (a newline before it instead, if it begins with one), or of other text as it is in a tuple.
+
+        A word is entered when all its parts are remembered, a part when it comes again.
         """
-        if not text:
-            return np.zeros(0, np.int32)
-        m = self.memory.get(stream)
-        if m is None or m.setting != (seed, stream, rate):
-            m = self.memory[stream] = Memory(seed, stream, rate)
-        m.age()
-        out: list[bytes] = []
-        for k, part in enumerate(text.split(SPACE)):
+        if isinstance(word, tuple):
+            parts = [LITERAL] if len(word) == 2 else self.parts(word[0])
+        elif word[:1] == "\n":
+            parts = ["\n", *(self.parts(word[1:]) if len(word) > 1 else [])]
+        else:
+            parts = self.parts(SPACE + word)
+        nodes, whole = [], len(self.node) < 2 * NODES
+        for p in parts:
+            at = self.part.get(p)
+            if at is None:
+                if len(p) <= REMEMBERED and len(self.node) < NODES and (p in self.once or len(p) == 1 or p == LITERAL):
+                    at = self.part[p] = self._node(p, ())
+                else:
+                    if len(p) <= REMEMBERED and len(self.once) < ONCE:
+                        self.once.add(p)
+                    at, whole = self._loose(p), False
+            nodes.append(at)
+        if whole and len(word if isinstance(word, str) else word[0]) <= REMEMBERED:
+            self.word_start.add([self.word_parts.add(nodes)])
+            self.word[word] = self.word_size.add([len(nodes)])
+        return nodes
+
+    def words(self, text: str) -> list[str | tuple[str, ...]]:
+        """What a text consists of, as :meth:`_word` takes it. A leading space is added, as the model was trained; a literal U+2581 is apart from a space."""
+        out: list[str | tuple[str, ...]] = []
+        for k, some in enumerate(text.split(SPACE)):
             if k:
-                out += [self.packed_byte[b] for b in SPACE.encode()]
-            if self.newline is None:
-                out.append(self.run(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE), m))
+                out.append((LITERAL, "itself"))
+            if not self.plain:
+                if some or not k:
+                    out.append((("" if k else SPACE) + some.replace(" ", SPACE),))
                 continue
-            for i, line in enumerate(part.split("\n")):
+            for i, line in enumerate(some.split("\n")):
+                words: list[str | tuple[str, ...]] = line.split(" ")
+                if "" in words:  # spaces that follow each other or end the line
+                    if i:
+                        out.append("\n")
+                    if line or not (k or i):
+                        out.append((("" if k or i else SPACE) + line.replace(" ", SPACE),))
+                    continue
                 if i:
-                    out.append(self.newline)
-                out += self.line(line, not (k or i), m)
-        return np.frombuffer(b"".join(out), np.int32)
+                    words[0] = "\n" + words[0]
+                elif k:
+                    words[0] = (words[0],)
+                out += words
+        return out
+
+    def encode_all(self, texts: list[str | None], keys: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each one's end); none for an empty or null text. Keys are the documents'."""
+        at: list[int | None] = []
+        counts = []
+        known = self.word
+        self.loose: list[str] = []
+        new: list[list[int]] = []
+        for t in texts:
+            words = self.words(t) if t else []
+            got = list(map(known.get, words))
+            if None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        new.append(self._word(words[i]))
+                        got[i] = -len(new)
+            at += got
+            counts.append(len(got))
+        word = np.array(at, np.int64)
+        fresh = np.flatnonzero(word < 0)
+        size = self.word_size.rows[np.maximum(word, 0)]
+        start = self.word_start.rows[np.maximum(word, 0)]
+        if len(new):
+            own = np.array([len(x) for x in new])[-1 - word[fresh]]
+            size[fresh] = own
+            start[fresh] = self.word_parts.n + (np.cumsum([len(x) for x in new]) - [len(x) for x in new])[-1 - word[fresh]]
+        pool = np.concatenate((self.word_parts.rows[: self.word_parts.n], np.array([y for x in new for y in x], np.int32)))
+        node = gathered(pool, start, size)
+        before = np.concatenate(([0], np.cumsum(size)))
+        ends = before[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
+        in_text = np.diff(np.concatenate(([0], ends)))
+        places = np.arange(len(node)) - np.repeat(ends - in_text, in_text)
+        hashes = part_hashes(seed, np.repeat(keys.view(np.uint64), in_text), places.astype(np.uint64))
+        below = int(rate * 2**53)
+        loose = node < 0
+        if below:
+            n = self.candidates.rows[np.maximum(node, 0)]
+            loose |= n > BRANCHES
+            self._go_down(node, np.flatnonzero(~loose & (n > 0)), hashes, below, loose)
+        alone = np.flatnonzero(loose)
+        parts = [self.loose[-1 - x] if x < 0 else self.node[x][0] for x in node[alone].tolist()]
+        more, sizes_alone = self.merge_many(parts, hashes[alone], below)
+        node[alone] = 0
+        sizes, start = self.id_size.rows[node], self.id_start.rows[node]
+        sizes[alone], start[alone] = sizes_alone, self.id_pool.n + np.cumsum(sizes_alone) - sizes_alone
+        return gathered(np.concatenate((self.id_pool.rows[: self.id_pool.n], more)), start, sizes), np.concatenate(([0], np.cumsum(sizes)))[ends]
+
+    def _go_down(self, node: np.ndarray, on: np.ndarray, hashes: np.ndarray, below: int, loose: np.ndarray) -> None:
+        """Move parts, those at ``on``, to the nodes that their hashes lead to; what no tree holds becomes loose."""
+        own, hashes, k = node[on], hashes[on], 0
+        while len(own):
+            skip = np.flatnonzero(chances(hashes, k) < np.uint64(below))
+            if len(skip):
+                to = self.further.rows[own[skip], k]
+                for x in np.unique(own[skip[to < 0]]).tolist():
+                    if len(self.node) < NODES and x * BRANCHES + k in self.tried:
+                        part, name = self.node[x]
+                        self.further.rows[x, k] = self._node(part, {*name, k}, (*name, k))  # before the row is looked up, as rows may move
+                    elif len(self.tried) < ONCE:
+                        self.tried.add(x * BRANCHES + k)
+                to = self.further.rows[own[skip], k]
+                out = skip[to < 0]  # for the first time, or there is no room
+                own[skip] = np.maximum(to, 0)
+                loose[on[out]] = True
+                own[out] = 0
+            k += 1
+            n = self.candidates.rows[own]
+            done = (n <= k) | loose[on]
+            if k == BRANCHES:  # skips have opened more candidates than the tree branches on
+                loose[on[~done]] = True
+                done[:] = True
+            keep = done & ~loose[on]
+            node[on[keep]] = own[keep]
+            own, hashes, on = own[~done], hashes[~done], on[~done]
+
+    def encode(self, text: str | None, seed: int = SEED, key: int = 0, rate: float = 0.0) -> np.ndarray:
+        """Ids of one text."""
+        return self.encode_all([text], np.array([key], np.int64), seed, rate)[0]
 
     def rest(self) -> None:
         """Between tasks, when the worker may wait for long or serve another operator."""
-        for m in self.memory.values():
-            m.rest()
+        if len(self.node) >= NODES:
+            self.forget()
+        self.once.clear()
+        self.tried.clear()
         pa.default_memory_pool().release_unused()
 
     def spelled(self, ids: np.ndarray) -> bytes:
@@ -258,73 +492,79 @@ class Vocabulary:
         return self.spelled(ids)[1:].decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str, seed: int, rate: float) -> Vocabulary:
-    """One for each worker and setting, as its memory of words holds for one setting."""
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One for each worker."""
     return Vocabulary(path)
 
 
-def _by_stream(parts: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """A few rows at a time, so that their texts alone are Python objects; the words of a stream stay at hand."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
+
+
+def _some(parts: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that their texts alone are Python objects."""
     for p in parts:
-        order = np.argsort(p["stream"].to_numpy(zero_copy_only=False), kind="stable")
-        for at in range(0, len(order), rows):
-            yield p.take(pa.array(order[at : at + rows]))
+        for at in range(0, len(p), rows):
+            yield p.slice(at, rows)
+
+
+def shipped(spark: SparkSession, model: str | None) -> str:
+    """The vocabulary's name among the files that workers have; they get it from the driver."""
+    path = model or default_model()
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE, streams: int = STREAMS) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """(id_col, ids array<int>), one row per input row.
 
-    A document's stream is its id modulo ``streams`` (0 for a null id). Null and empty
-    texts have no ids. Other columns are ignored. Row order does not matter.
+    Skips go by the id as text; rows that share an id, or have none, share their chances
+    place by place. Null and empty texts have no ids. A text of any length is cut by the
+    same rule. Other columns are ignored. Row order does not matter.
     """
-    path = model or default_model()
+    name = shipped(docs.sparkSession, model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, seed, rate)
-        for p in _by_stream(parts):
-            ids = [v.encode(t, seed, s, rate) for t, s in zip(p["text"].to_pylist(), p["stream"].to_pylist(), strict=True)]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([p["id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["id", "ids"])
+        v = vocabulary(SparkFiles.get(name))
+        for p in _some(parts):
+            ids, ends = v.encode_all(p["text"].to_pylist(), p["key"].to_numpy(), seed, rate)
+            yield pa.RecordBatch.from_arrays([p["id"], pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))], ["id", "ids"])
         v.rest()
 
-    stream = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(streams)), F.lit(0)).cast("int")
-    d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), stream.alias("stream"))
     kind = docs.schema[id_col].dataType
-    return d.mapInArrow(run, "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
     """(id_col, text): the texts that were encoded; null ids give null."""
-    path = model or default_model()
+    name = shipped(encoded.sparkSession, model)
 
     def run(ids: pd.Series) -> pd.Series:
-        v = vocabulary(path, 0, 0.0)
+        v = vocabulary(SparkFiles.get(name))
         return pd.Series([None if x is None else v.decode(np.asarray(x)) for x in ids], dtype=object)
 
     return encoded.select(id_col, F.pandas_udf(run, "string")(F.col(ids_col)).alias("text"))
 
 
-def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE, streams: int = STREAMS) -> DataFrame:
+def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """(id_col, n_ids, ids_sha256, lossless): digests of :func:`encode` and whether decoding gives the text back.
 
     Encoding and decoding happen in one pass, so that the ids need not leave the worker.
     """
-    path = model or default_model()
+    name = shipped(docs.sparkSession, model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, seed, rate)
-        for p in _by_stream(parts):
-            sizes, digests, same = [], [], []
-            for t, s in zip(p["text"].to_pylist(), p["stream"].to_pylist(), strict=True):
-                ids = v.encode(t, seed, s, rate)
-                sizes.append(len(ids))
-                digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-                same.append(v.spelled(ids)[1:] == (t or "").encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([p["id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["id", "n_ids", "ids_sha256", "lossless"])
+        v = vocabulary(SparkFiles.get(name))
+        for p in _some(parts):
+            texts = p["text"].to_pylist()
+            ids, ends = v.encode_all(texts, p["key"].to_numpy(), seed, rate)
+            digests, same = [], []
+            for t, own in zip(texts, np.split(ids, ends[:-1]), strict=True):
+                digests.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
+                same.append(v.spelled(own)[1:] == (t or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([p["id"], pa.array(np.diff(np.concatenate(([0], ends)))), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["id", "n_ids", "ids_sha256", "lossless"])
         v.rest()
 
-    stream = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(streams)), F.lit(0)).cast("int")
-    d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), stream.alias("stream"))
     kind = docs.schema[id_col].dataType
-    return d.mapInArrow(run, "id string, n_ids long, ids_sha256 string, lossless boolean").select(F.col("id").cast(kind).alias(id_col), "n_ids", "ids_sha256", "lossless")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id string, n_ids long, ids_sha256 string, lossless boolean").select(F.col("id").cast(kind).alias(id_col), "n_ids", "ids_sha256", "lossless")
