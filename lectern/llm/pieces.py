@@ -34,7 +34,7 @@ SEED = 42
 #: Share of candidate merges that are skipped.
 RATE = 0.1
 #: Nodes of the trees a worker remembers, parts it knows to have come once, and candidates of a part that trees branch on.
-NODES, ONCE, BRANCHES = 200_000, 400_000, 20
+NODES, ONCE, BRANCHES = 400_000, 400_000, 20
 #: Agendas that are worked off side by side.
 ROWS = 4096
 #: Parts and words up to this length are remembered.
@@ -82,6 +82,33 @@ def chances(hashes: np.ndarray, k: int) -> np.ndarray:
     return stirred(hashes + np.uint64((k + 1) * GOLD & FULL)) >> np.uint64(11)
 
 
+class Hashed:
+    """Skips of many parts by their hashes."""
+
+    def __init__(self, hashes: np.ndarray, below: int) -> None:
+        self.hashes, self.below = hashes, below
+
+    def at(self, rows: np.ndarray, k: int) -> np.ndarray:
+        return chances(self.hashes[rows], k) < np.uint64(self.below)
+
+    def of(self, row: int) -> Skips:
+        return Skips(int(self.hashes[row]), self.below)
+
+
+class Named:
+    """Skips of many parts, named one by one."""
+
+    def __init__(self, names: list[tuple[int, ...]]) -> None:
+        self.names = names
+        self.masks = np.array([sum(1 << k for k in x) for x in names], np.int64)
+
+    def at(self, rows: np.ndarray, k: int) -> np.ndarray:
+        return (self.masks[rows] >> np.int64(min(k, 62)) & 1).astype(bool)
+
+    def of(self, row: int) -> tuple[int, ...]:
+        return self.names[row]
+
+
 def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Stretches of ``pool``, one after the other."""
     ends = np.cumsum(size)
@@ -138,7 +165,11 @@ class Vocabulary:
         self.rank = {p: r for r, p in enumerate(self.ranked)}
         # lines can be cut apart, and words before their spaces, if no piece joins a newline or has a space inside
         self.plain = "\n" not in joined and not inner
+        self.spelling = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.spelling_size = np.array([len(x) for x in self.bytes_of])
+        self.spelling_start = np.cumsum(self.spelling_size) - self.spelling_size
         self._pair_table()
+        self._joins_table()
         self.forget()
 
     def forget(self) -> None:
@@ -153,6 +184,14 @@ class Vocabulary:
         #: Parts, and branches, that have come once.
         self.once: set[str] = set()
         self.tried: set[int] = set()
+        #: Those that have come again.
+        self.again: dict[str, None] = {}
+        self.taken: dict[int, None] = {}
+        self.loose: list[str] = []
+        #: U+2581 itself, which is no part of a text otherwise.
+        self.part[LITERAL] = self._enter(["\0"], [()])
+        self.id_size.rows[0] = 3
+        self.id_start.rows[0] = self.id_pool.add([self.byte[b] for b in SPACE.encode()])
 
     def _pair_table(self) -> None:
         """A hash table of all pairs of symbols that form a piece. A symbol is a piece's rank, or a character that is none, after those."""
@@ -177,6 +216,28 @@ class Vocabulary:
             left, ranks, at = left[on], ranks[on], at[on] + 1 & (1 << self.pair_bits) - 1
         self.symbol_id = np.array([self.id[p] for p in self.ranked], np.int32)
 
+    def _joins_table(self) -> None:
+        """A map of the pairs of characters that stand together in a piece, by numbers of these characters."""
+        chars = sorted({c for p in self.pairs for c in p})
+        self.char_number = np.zeros(0x110000, np.int32)
+        self.char_number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.char_count = len(chars) + 1
+        at = np.array([self.char_number[ord(a)] * self.char_count + self.char_number[ord(b)] for a, b in self.pairs], np.int64)
+        self.joins = np.zeros(self.char_count**2 // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.joins, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def _uncut(self, texts: list[str]) -> list[bool]:
+        """Whether each text is one part."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        chars = self.char_number[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        at = chars[:-1] * self.char_count + chars[1:]
+        cut = (self.joins[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 0
+        ends = np.cumsum(size)
+        cut[ends[:-1] - 1] = False  # where one text ends
+        before = np.concatenate(([0], np.cumsum(cut), [0]))
+        before[-1] = before[-2]
+        return (before[ends - 1] == before[ends - size]).tolist()
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(GOLD)) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
 
@@ -197,22 +258,23 @@ class Vocabulary:
         out[(a < 0) | (b < 0)] = AWAY
         return out
 
-    def merge_many(self, parts: list[str], hashes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of each part) of parts with chances by their hashes, as :meth:`merge` gives them."""
+    def merge_many(self, parts: list[str], skips: Hashed | Named) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many of each part, candidates of each) of many parts, as :meth:`merge` gives them."""
         size = np.array([len(p) for p in parts], np.int64)
-        pool, start, sizes = Pool(np.int32), np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        pool, (start, sizes, candidates) = Pool(np.int32), np.zeros((3, len(parts)), np.int64)
         order = np.argsort(size, kind="stable")
         for x in range(0, len(order), ROWS):
             rows = order[x : x + ROWS]
             rows = rows[size[rows] <= SHORT]
             if len(rows):
-                self._side_by_side(parts, rows, size[rows], hashes, below, pool, start, sizes)
+                self._side_by_side(parts, rows, size[rows], skips, pool, start, sizes, candidates)
         for i in np.flatnonzero(size > SHORT).tolist():
-            ids = self.ids(self.merge(parts[i], Skips(int(hashes[i]), below))[0])
+            pieces, candidates[i] = self.merge(parts[i], skips.of(i))
+            ids = self.ids(pieces)
             start[i], sizes[i] = pool.add(ids), len(ids)
-        return gathered(pool.rows, start, sizes), sizes
+        return gathered(pool.rows, start, sizes), sizes, candidates
 
-    def _side_by_side(self, parts: list[str], rows: np.ndarray, size: np.ndarray, hashes: np.ndarray, below: int, pool: Pool, start: np.ndarray, sizes: np.ndarray) -> None:
+    def _side_by_side(self, parts: list[str], rows: np.ndarray, size: np.ndarray, skips: Hashed | Named, pool: Pool, start: np.ndarray, sizes: np.ndarray, candidates: np.ndarray) -> None:
         wide = int(size.max())
         chars = np.frombuffer("".join([parts[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
         columns = np.arange(wide)
@@ -220,17 +282,18 @@ class Vocabulary:
         sym[columns < size[:, None]] = self.symbol[chars]
         agenda = np.full((len(rows), wide), AWAY, np.int32)
         agenda[:, :-1] = self._ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(rows), -1)
-        h, k = hashes[rows], 0
+        k = 0
         while len(rows):
             i = agenda.argmin(1)
             every = np.arange(len(rows))
             r = agenda[every, i]
             done = r == AWAY
             if done.any():
+                candidates[rows[done]] = k
                 self._tell(sym[done], rows[done], pool, start, sizes)
-                sym, agenda, rows, h, i, r = (x[~done] for x in (sym, agenda, rows, h, i, r))
+                sym, agenda, rows, i, r = (x[~done] for x in (sym, agenda, rows, i, r))
                 every = np.arange(len(rows))
-            skip = chances(h, k) < np.uint64(below)
+            skip = skips.at(rows, k)
             agenda[every[skip], i[skip]] = AWAY
             k += 1
             at = every[~skip]
@@ -330,44 +393,61 @@ class Vocabulary:
         except KeyError:
             return np.array([x for p in pieces for x in ([known[p]] if p in known else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")])], np.int32)
 
-    def _node(self, part: str, skipped, name: tuple[int, ...] = ()) -> int:
-        pieces, n = self.merge(part, skipped) if part != LITERAL else ([SPACE], 0)
-        ids = self.ids(pieces) if part != LITERAL else np.array([self.byte[b] for b in SPACE.encode()], np.int32)
-        self.id_start.add([self.id_pool.add(ids)])
-        self.id_size.add([len(ids)])
-        self.candidates.add([n])
-        self.further.add(np.full((1, BRANCHES), -1, np.int32))
-        self.node.append((part, name))
-        return len(self.node) - 1
+    def _enter(self, parts: list[str], names: list[tuple[int, ...]]) -> int:
+        """Nodes for parts and the skips that lead to them; the first one's number."""
+        ids, sizes, candidates = self.merge_many(parts, Named(names))
+        self.id_start.add(self.id_pool.add(ids) + np.cumsum(sizes) - sizes)
+        self.id_size.add(sizes)
+        self.candidates.add(candidates)
+        self.further.add(np.full((len(parts), BRANCHES), -1, np.int32))
+        self.node += zip(parts, names, strict=True)
+        return len(self.node) - len(parts)
+
+    def _grow(self) -> None:
+        """Enter what came again."""
+        room = max(0, NODES - len(self.node))
+        if new := list(self.again)[:room]:
+            first = self._enter(new, [()] * len(new))
+            self.part.update(zip(new, range(first, first + len(new)), strict=True))
+        self.again = {}
+        if new := list(self.taken)[: max(0, NODES - len(self.node))]:
+            at, k = (np.array(x) for x in zip(*(divmod(x, BRANCHES) for x in new), strict=True))
+            own = [self.node[x] for x in at.tolist()]
+            first = self._enter([p for p, _ in own], [(*name, x) for (_, name), x in zip(own, k.tolist(), strict=True)])
+            self.further.rows[at, k] = np.arange(first, first + len(new))
+        self.taken = {}
 
     def _loose(self, part: str) -> int:
         """A number for a part that is not remembered, below zero."""
         self.loose.append(part)
         return -len(self.loose)
 
-    def _word(self, word: str | tuple[str, ...]) -> list[int]:
+    def _word(self, word: str | tuple[str, ...], whole: bool) -> list[int]:
         """The nodes of a word with the space before it (a newline before it instead, if it begins with one), or of other text as it is in a tuple.
 
         A word is entered when all its parts are remembered, a part when it comes again.
+        ``whole`` says that a word is one part.
         """
-        if isinstance(word, tuple):
+        if whole:
+            parts = [SPACE + word]
+        elif isinstance(word, tuple):
             parts = [LITERAL] if len(word) == 2 else self.parts(word[0])
         elif word[:1] == "\n":
             parts = ["\n", *(self.parts(word[1:]) if len(word) > 1 else [])]
         else:
             parts = self.parts(SPACE + word)
-        nodes, whole = [], len(self.node) < 2 * NODES
+        nodes, known = [], True
         for p in parts:
             at = self.part.get(p)
             if at is None:
-                if len(p) <= REMEMBERED and len(self.node) < NODES and (p in self.once or len(p) == 1 or p == LITERAL):
-                    at = self.part[p] = self._node(p, ())
-                else:
-                    if len(p) <= REMEMBERED and len(self.once) < ONCE:
+                at, known = self._loose(p), False
+                if len(p) <= REMEMBERED:
+                    if p in self.once:
+                        self.again[p] = None
+                    elif len(self.once) < ONCE:
                         self.once.add(p)
-                    at, whole = self._loose(p), False
             nodes.append(at)
-        if whole and len(word if isinstance(word, str) else word[0]) <= REMEMBERED:
+        if known and len(word if isinstance(word, str) else word[0]) <= REMEMBERED:
             self.word_start.add([self.word_parts.add(nodes)])
             self.word[word] = self.word_size.add([len(nodes)])
         return nodes
@@ -399,29 +479,31 @@ class Vocabulary:
 
     def encode_all(self, texts: list[str | None], keys: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each one's end); none for an empty or null text. Keys are the documents'."""
-        at: list[int | None] = []
+        every: list[str | tuple[str, ...]] = []
         counts = []
-        known = self.word
-        self.loose: list[str] = []
-        new: list[list[int]] = []
         for t in texts:
             words = self.words(t) if t else []
-            got = list(map(known.get, words))
-            if None in got:
-                for i, x in enumerate(got):
-                    if x is None:
-                        new.append(self._word(words[i]))
-                        got[i] = -len(new)
-            at += got
-            counts.append(len(got))
+            every += words
+            counts.append(len(words))
+        self.loose: list[str] = []
+        at = list(map(self.word.get, every))
+        missing = [i for i, x in enumerate(at) if x is None]
+        new: list[list[int]] = []
+        if missing:
+            own = list(map(every.__getitem__, missing))
+            number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+            simple = [isinstance(w, str) and w[:1] != "\n" for w in number]
+            uncut = iter(self._uncut([SPACE + w for w, x in zip(number, simple, strict=True) if x] or [SPACE]))
+            new = [self._word(w, x and next(uncut)) for w, x in zip(number, simple, strict=True)]
+            for i, w in zip(missing, own, strict=True):
+                at[i] = -1 - number[w]
         word = np.array(at, np.int64)
         fresh = np.flatnonzero(word < 0)
         size = self.word_size.rows[np.maximum(word, 0)]
         start = self.word_start.rows[np.maximum(word, 0)]
-        if len(new):
-            own = np.array([len(x) for x in new])[-1 - word[fresh]]
-            size[fresh] = own
-            start[fresh] = self.word_parts.n + (np.cumsum([len(x) for x in new]) - [len(x) for x in new])[-1 - word[fresh]]
+        many = np.array([len(x) for x in new], np.int64)
+        size[fresh] = many[-1 - word[fresh]]
+        start[fresh] = self.word_parts.n + (np.cumsum(many) - many)[-1 - word[fresh]]
         pool = np.concatenate((self.word_parts.rows[: self.word_parts.n], np.array([y for x in new for y in x], np.int32)))
         node = gathered(pool, start, size)
         before = np.concatenate(([0], np.cumsum(size)))
@@ -437,11 +519,13 @@ class Vocabulary:
             self._go_down(node, np.flatnonzero(~loose & (n > 0)), hashes, below, loose)
         alone = np.flatnonzero(loose)
         parts = [self.loose[-1 - x] if x < 0 else self.node[x][0] for x in node[alone].tolist()]
-        more, sizes_alone = self.merge_many(parts, hashes[alone], below)
+        more, sizes_alone, _ = self.merge_many(parts, Hashed(hashes[alone], below))
         node[alone] = 0
         sizes, start = self.id_size.rows[node], self.id_start.rows[node]
         sizes[alone], start[alone] = sizes_alone, self.id_pool.n + np.cumsum(sizes_alone) - sizes_alone
-        return gathered(np.concatenate((self.id_pool.rows[: self.id_pool.n], more)), start, sizes), np.concatenate(([0], np.cumsum(sizes)))[ends]
+        ids = gathered(np.concatenate((self.id_pool.rows[: self.id_pool.n], more)), start, sizes)
+        self._grow()
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[ends]
 
     def _go_down(self, node: np.ndarray, on: np.ndarray, hashes: np.ndarray, below: int, loose: np.ndarray) -> None:
         """Move parts, those at ``on``, to the nodes that their hashes lead to; what no tree holds becomes loose."""
@@ -450,17 +534,14 @@ class Vocabulary:
             skip = np.flatnonzero(chances(hashes, k) < np.uint64(below))
             if len(skip):
                 to = self.further.rows[own[skip], k]
-                for x in np.unique(own[skip[to < 0]]).tolist():
-                    if len(self.node) < NODES and x * BRANCHES + k in self.tried:
-                        part, name = self.node[x]
-                        self.further.rows[x, k] = self._node(part, {*name, k}, (*name, k))  # before the row is looked up, as rows may move
-                    elif len(self.tried) < ONCE:
-                        self.tried.add(x * BRANCHES + k)
-                to = self.further.rows[own[skip], k]
                 out = skip[to < 0]  # for the first time, or there is no room
+                for x in np.unique(own[out] * BRANCHES + k).tolist():
+                    if x in self.tried:
+                        self.taken[x] = None
+                    elif len(self.tried) < ONCE:
+                        self.tried.add(x)
                 own[skip] = np.maximum(to, 0)
                 loose[on[out]] = True
-                own[out] = 0
             k += 1
             n = self.candidates.rows[own]
             done = (n <= k) | loose[on]
@@ -484,8 +565,8 @@ class Vocabulary:
         pa.default_memory_pool().release_unused()
 
     def spelled(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for, the added space first."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        """The bytes that ids stand for, the added space of a text first."""
+        return gathered(self.spelling, self.spelling_start[ids], self.spelling_size[ids]).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded."""
@@ -559,11 +640,15 @@ def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         for p in _some(parts):
             texts = p["text"].to_pylist()
             ids, ends = v.encode_all(texts, p["key"].to_numpy(), seed, rate)
-            digests, same = [], []
-            for t, own in zip(texts, np.split(ids, ends[:-1]), strict=True):
-                digests.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
-                same.append(v.spelled(own)[1:] == (t or "").encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([p["id"], pa.array(np.diff(np.concatenate(([0], ends)))), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["id", "n_ids", "ids_sha256", "lossless"])
+            sizes = np.diff(np.concatenate(([0], ends)))
+            whole = memoryview(ids.astype("<i4", copy=False)).cast("B") if len(ids) else memoryview(b"")
+            digests = [hashlib.sha256(whole[4 * (e - n) : 4 * e]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            spelled = v.spelled(ids)
+            want = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+            length = np.add.reduceat(np.concatenate((v.spelling_size[ids], [0])), np.minimum(ends - sizes, len(ids))) * (sizes > 0)
+            to = np.cumsum(length)
+            same = [spelled[e - n : e] == w for e, n, w in zip(to.tolist(), length.tolist(), want, strict=True)]
+            yield pa.RecordBatch.from_arrays([p["id"], pa.array(sizes), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["id", "n_ids", "ids_sha256", "lossless"])
         v.rest()
 
     kind = docs.schema[id_col].dataType
