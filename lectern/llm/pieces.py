@@ -34,7 +34,7 @@ SEED = 42
 #: Share of candidate merges that are skipped.
 RATE = 0.1
 #: Nodes of the trees a worker remembers, parts it knows to have come once, and candidates of a part that trees branch on.
-NODES, ONCE, BRANCHES = 400_000, 400_000, 20
+NODES, ONCE, BRANCHES = 300_000, 400_000, 20
 #: Agendas that are worked off side by side.
 ROWS = 4096
 #: Parts and words up to this length are remembered.

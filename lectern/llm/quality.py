@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import few
+from lectern.llm.common import boxed, few
 
 #: Bounds of the sample the model is fitted on: documents, and lines of each (spread over the whole document).
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 48
@@ -189,13 +189,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample is the one with the smallest hashes of the id, half of it for each
     label where there are enough. Null labels are left out; a document with several
-    labels has the most frequent, 1 on a tie.
+    labels has the most frequent, 1 on a tie. Of rows that share an id, that whose text
+    has the smallest hash is learnt from, so that no more than ``sample`` rows reach the
+    driver. Null texts have no lines to learn from.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     chosen = pick[0].unionByName(pick[1])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # ``sample`` rows at most
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = d.join(F.broadcast(chosen), "id")  # ``sample`` rows at most on that side
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -206,23 +210,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     out.append((int(i), int(y), x[neighbours(len(x), int(i))].ravel().tolist()))
             yield pd.DataFrame(out, columns=["id", "y", "x"])
 
-    got = sorted(rows.mapInPandas(features, "id long, y int, x array<double>").collect(), key=lambda r: (r.id, r.x))[: 2 * sample]
+    got = sorted(rows.mapInPandas(features, "id long, y int, x array<double>").collect(), key=lambda r: r.id)
     return fit([np.array(r.x).reshape(-1, 3 * len(OWN)) for r in got], [r.y for r in got])
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``docs`` with a column ``quality_score``; see :func:`score`.
-
-    Only the text enters a score. Null and empty texts, and texts of white space,
-    score 0. Without any label to learn from, every text with a word scores 0.5.
-    """
-    model = train(docs, labels, id_col, text_col, label_col)
-
+def scorer(model: Model):
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([score(t, model) for t in few(texts)], pa.float64())
 
-    return docs.withColumn("quality_score", scored(F.col(text_col)))
+    return scored
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", score_col: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``score_col``, which must be new; see :func:`score`.
+
+    Only the text enters a score. Null and empty texts, and texts of white space,
+    score 0. Without any label to learn from, every text with a word scores 0.5.
+    Repeated rows score alike.
+    """
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col} already")
+    return docs.withColumn(score_col, scorer(train(docs, labels, id_col, text_col, label_col))(F.col(text_col)))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,5 +241,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score reaches the threshold."""
-    return quality(docs, labels).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    """The documents whose score reaches the threshold, with their own columns whatever they are called."""
+    scored = scorer(train(docs, labels))
+    return boxed(docs).withColumn("score", scored(F.col("row")["text"])).where(F.col("score") >= THRESHOLD).select("row.*")

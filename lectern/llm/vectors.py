@@ -2,8 +2,9 @@
 
 Unit vectors with a cosine of at least c lie within a squared distance of 2 - 2c. They
 are turned by a fixed random rotation, so that distance spreads evenly, and split into
-blocks of about eight dimensions, each with the share of that budget that its
-dimensions have of all. A pair within the whole budget is within its share in some
+blocks of about sixteen dimensions, each with the share of that budget that its
+dimensions have of all. (Vectors without any structure hardly ever come that near in so
+many dimensions, and in fewer blocks a vector is entered fewer times.) A pair within the whole budget is within its share in some
 block. For each block, vectors are cut into slabs along the block's first axis, a
 slab as wide as the block's radius, and a slab is joined with itself and the next one.
 A pair that several blocks propose is verified only in the block where it uses least
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import connected_components, materialise, remove, roots
 
 COSINE = 0.93
-BLOCK = 8
-TILE = 1024
+BLOCK = 16
+#: Components of the vectors of a tile, and vectors of one at least.
+TILE, LEAST = 1 << 19, 256
 #: Vectors of a tile that are joined with another tile at a time.
 SLICE = 128
 SEED = 42
@@ -131,7 +133,7 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     classes = materialise(classes.select("label", F.size("vec").alias("dim"), "vec", "rep", "copies", slabs("vec").alias("slabs")), "vec-classes")
     cell = ["label", "dim", "block", "slab"]
     places = classes.select("label", "dim", F.posexplode("slabs").alias("block", "slab"))
-    cells = places.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    cells = places.groupBy(*cell).count().withColumn("tiles", F.ceil(F.col("count") / F.greatest(F.floor(TILE / F.col("dim")), F.lit(LEAST))).cast("int"))
     along = Window.partitionBy("label", "dim", "block").orderBy("slab")
     beside = lambda f, step: F.when(f("slab").over(along) == F.col("slab") + step, f("tiles").over(along)).otherwise(0)
     cells = materialise(cells.select(*cell, "tiles", beside(F.lead, 1).alias("next"), beside(F.lag, -1).alias("last")), "vec-cells")

@@ -64,3 +64,50 @@ def test_whole_lines_and_neighbours():
         at = np.arange(n)[quality.neighbours(n, 7)]
         assert len(at) == min(n, quality.SAMPLE_LINES) and (np.diff(at) == 1).all()
     assert len({quality.neighbours(500, k).start for k in range(50)}) > 30
+
+
+def test_rows_that_share_an_id_are_learnt_from_once(spark, monkeypatch):
+    rows = documents(60)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows for _ in range(20)] + [(i, t + "\nmore") for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda chains, labels, **k: seen.append((len(chains), sum(labels))))
+    quality.train(docs, labels, sample=20)
+    assert seen == [(20, 10)]
+
+
+def test_gradient(monkeypatch):
+    """The fit stands where brute-force likelihood of whole chains has its best."""
+    rng = np.random.default_rng(4)
+    chains = [rng.normal(size=(rng.integers(1, 4), 3 * len(quality.OWN))) * (np.arange(3 * len(quality.OWN)) < 3) for _ in range(12)]
+    labels = [int(c[:, :3].sum() + rng.normal() > 0) for c in chains]
+    m = quality.fit(chains, labels, steps=3000, rate=0.02, ridge=0.05)
+
+    def loss(w, t):
+        total = 0.0
+        for c, y in zip(chains, labels, strict=True):
+            s = ((c - m.mean) / m.scale) @ w
+            score = lambda z, s=s: sum(s[i] for i in range(len(z)) if z[i]) + sum(t[a, b] for a, b in itertools.pairwise(z))
+            whole = np.log(sum(np.exp(score(z)) for z in itertools.product((0, 1), repeat=len(s))))
+            total -= (score((y,) * len(s)) - whole) / labels.count(y) / 2 / len(s)
+        return total + 0.05 * ((w**2).sum() + (t**2).sum()) / 2
+
+    best = loss(m.weights, m.chain)
+    for _ in range(60):
+        assert loss(m.weights + rng.normal(size=len(m.weights)) * 0.05, m.chain + rng.normal(size=(2, 2)) * 0.05) > best - 1e-4
+
+
+def test_lines_of_a_mixed_document_are_told_apart(spark):
+    rows = documents()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    good, bad = ([x for _, t, y in rows if y == k for x in t.split("\n") if len(x.split()) > 4] for k in (1, 0))
+    own, _ = quality.line_features("\n".join(good[:7] + bad[:5]))
+    got = quality.marginals(((quality.chain_features(own) - model.mean) / model.scale) @ model.weights, model.chain)
+    assert got[:6].min() > 0.5 > got[8:].max()
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "A line.", "mine", 2)], "doc_id long, text string, quality_score string, score int")
+    kept = quality.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [tuple(r) for r in kept.collect()] == [(1, "A line.", "mine", 2)]

@@ -37,7 +37,8 @@ def plain(rows, cosine):
 
 @pytest.mark.parametrize("size,cosine,tile", [(64, 0.93, 1024), (64, 0.93, 16), (20, 0.9, 8), (3, 0.99, 1024)])
 def test_against_brute_force(spark, monkeypatch, size, cosine, tile):
-    monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "TILE", tile * size)
+    monkeypatch.setattr(vectors, "LEAST", 1)
     rng = np.random.default_rng(size)
     near = math.sqrt(2 - 2 * cosine) / math.sqrt(size)
     rows, k = [], 0
