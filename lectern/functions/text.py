@@ -1,7 +1,7 @@
 """Text cleaning and normalisation as Column expressions.
 
 Everything runs inside the JVM except Unicode composition, which Spark lacks; that is an
-Arrow function applied only to texts that hold a non-ASCII character.
+Arrow function that sees only texts it may change.
 """
 
 from __future__ import annotations
@@ -41,13 +41,17 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{SPACES}+", " "))
 
 
+#: Every character that composition may change, or that may join one before it, is in here.
+COMPOSABLE = "[^\\x00-\\x{2FF}\\x{2002}-\\x{2125}]"
+
+
 def composed(c: Column) -> Column:
-    """NFC; ASCII texts do not leave the JVM's branch of the expression."""
+    """NFC. Only texts with a character that composition may change reach the Arrow function; others are null there."""
 
     def nfc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return F.when(F.regexp_like(c, F.lit("[^\\x00-\\x7F]")), F.pandas_udf(nfc, "string")(c)).otherwise(c)
+    return F.coalesce(F.pandas_udf(nfc, "string")(F.when(F.regexp_like(c, F.lit(COMPOSABLE)), c)), c)
 
 
 def normalize(c: Column, compose: bool = True) -> Column:
@@ -73,10 +77,11 @@ def clean(c: Column) -> Column:
     """The manifest cleaner: printable ASCII without tags, digits and marks, lower case.
 
     The order counts: tabs are deleted and so join words, and a hyphen is deleted, not spaced.
+    A bracket without its counterpart takes the word next to it along, spaces or not.
     """
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "[\\r\\n]+", " ")
     c = F.regexp_replace(c, "[^\\x20-\\x7E]", "")
-    c = F.regexp_replace(F.regexp_replace(c, "<", " <"), ">", "> ")
+    c = F.regexp_replace(F.regexp_replace(c, " *< *", " <"), " *> *", "> ")
     c = F.regexp_replace(c, "<[^>]*>", " ")
     c = F.array_join(F.filter(F.split(c, " +"), lambda t: ~t.rlike("[<>]")), " ")
     c = F.regexp_replace(c, "[,.'0-9?!`\"-]", "")

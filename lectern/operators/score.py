@@ -30,6 +30,13 @@ def score_rows(items: DataFrame, with_tags: bool = False) -> DataFrame:
     return d.select("learner_id", "audio_file", F.col("_category").alias("audio_type"), *[F.coalesce(c, F.lit("")).alias(n) for n, c in texts.items()], *[F.col(f"_s.{c}").alias(c) for c in KEPT + extra])
 
 
+def error_rows(items: DataFrame) -> DataFrame:
+    """(learner_id, audio_file, audio_type) and the counts of REF to HYP alone, where nothing else is asked for."""
+    d = items.withColumn("_category", category(F.col("audio_type"))).where(F.col("_category").isNotNull())
+    d = d.withColumn("_s", error_counts(normalize(F.col("ref_text")), normalize(F.col("hyp_text"))))
+    return d.select("learner_id", "audio_file", F.col("_category").alias("audio_type"), *[F.col(f"_s.{k}").alias(f"{k}_ref_hyp") for k in "SDICN"])
+
+
 def unscored(items: DataFrame) -> DataFrame:
     """Items whose type belongs to no category."""
     return items.where(category(F.col("audio_type")).isNull())
@@ -87,16 +94,16 @@ def with_advanced(scored: DataFrame) -> DataFrame:
     """Scored rows with differences of accuracy and fine-grained rates.
 
     Accuracies are percent by schema here; MAE_EGRA_ACC is in 0..1 and Bias_Baseline_MAE
-    in percent points. The mean accuracy is a one-row aggregate, joined as a scalar. MER
+    in percent points. The mean accuracy is a scalar subquery. MER
     is errors over N of the meta-alignment, null if there is nothing to align. Fine
     metrics are named fine_*, placed ones phono_*.
     """
-    mean = scored.select(rates.mean(F.col("ACC_can_ref")).alias("m")).first()["m"]
+    mean = scored.select(rates.mean(F.col("ACC_can_ref")).alias("m")).scalar()
     d = scored.withColumns({"ACC_can_ref_norm_for_mae": F.col("ACC_can_ref") / 100.0, "ACC_can_hyp_norm_for_mae": F.col("ACC_can_hyp") / 100.0})
     d = d.withColumns(
         {
             "MAE_EGRA_ACC": F.abs(F.col("ACC_can_ref_norm_for_mae") - F.col("ACC_can_hyp_norm_for_mae")),
-            "Bias_Baseline_MAE": F.abs(F.col("ACC_can_ref") - F.lit(mean).cast("double")),
+            "Bias_Baseline_MAE": F.abs(F.col("ACC_can_ref") - mean.cast("double")),
             "_f": fine_v1(F.col("CAN"), F.col("REF"), F.col("HYP")),
             "_p": placed_scores(F.col("CAN"), F.col("REF"), F.col("HYP")),
         }

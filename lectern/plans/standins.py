@@ -89,6 +89,34 @@ def sql_distance(truth: str, test: str) -> str:
     lambda hh, xx: {{'j': xx.j, 'l': list_append(hh.l, least(hh.l[-1] + 1, aa.s[xx.j + 1] + 1, aa.s[xx.j] + CASE WHEN {truth}[xx.j] = tt.w THEN 0 ELSE 1 END))}}).l}}).s[-1]"""
 
 
+def sql_middles(truth: str, test: str) -> tuple[str, str]:
+    """Two word lists without what both begin and end with."""
+    least = f"least(len({truth}), len({test}))"
+    ahead = f"coalesce(list_filter(range(1, {least} + 1), lambda k: {truth}[k] <> {test}[k])[1] - 1, {least})"
+    behind = f"coalesce(list_filter(range(1, {least} - {ahead} + 1), lambda k: {truth}[len({truth}) + 1 - k] <> {test}[len({test}) + 1 - k])[1] - 1, {least} - {ahead})"
+    return tuple(f"list_slice({w}, {ahead} + 1, len({w}) - {behind})" for w in (truth, test))
+
+
+def sql_edits(truth: str, test: str) -> str:
+    """Edits of the unit-cost alignment of two word lists as :func:`sql_middles` leaves them, c, s, d or i each.
+
+    Each cell knows the path to it: a deletion if that is on a shortest one, else an
+    insertion if what it comes from is strictly nearer than the diagonal, else the diagonal.
+    """
+    cells = "CAST([] AS STRUCT(c BIGINT, p VARCHAR)[])"
+    step = f"CASE WHEN {truth}[xx.j] = tt.w THEN 0 ELSE 1 END"
+    return f"""list_reduce(list_concat(
+  [{{'w': '', 's': list_transform(range(0, len({truth}) + 1), lambda jj: {{'c': jj, 'p': repeat('d', jj)}})}}],
+  list_transform({test}, lambda ww: {{'w': ww, 's': {cells}}})),
+  lambda aa, tt: {{'w': tt.w, 's': list_reduce(list_concat(
+    [{{'j': CAST(0 AS BIGINT), 'l': [{{'c': aa.s[1].c + 1, 'p': aa.s[1].p || 'i'}}]}}],
+    list_transform(range(1, len({truth}) + 1), lambda jj: {{'j': jj, 'l': {cells}}})),
+    lambda hh, xx: {{'j': xx.j, 'l': list_append(hh.l, CASE
+      WHEN hh.l[-1].c <= aa.s[xx.j + 1].c AND hh.l[-1].c + 1 <= aa.s[xx.j].c + {step} THEN {{'c': hh.l[-1].c + 1, 'p': hh.l[-1].p || 'd'}}
+      WHEN aa.s[xx.j + 1].c < aa.s[xx.j].c THEN {{'c': aa.s[xx.j + 1].c + 1, 'p': aa.s[xx.j + 1].p || 'i'}}
+      ELSE {{'c': aa.s[xx.j].c + {step}, 'p': aa.s[xx.j].p || CASE WHEN {truth}[xx.j] = tt.w THEN 'c' ELSE 's' END}} END)}}).l}}).s[-1].p"""
+
+
 TYPES = ("full_letter_grid", "iso_letter_3", "iso_random_letters2_1", "full_syllable1_grid", "iso_syllable4", "rand_syllable5", "passage_num2")
 CATEGORY_OF = ("letters_grid", "letters_isolated", "letters_isolated", "syllables_grid", "syllables_isolated", "syllables_isolated", "passage_passage")
 MACRO_OF = (("letters", "grid"), ("letters", "isolated"), ("letters", "random"), ("syllables", "grid"), ("syllables", "isolated"), ("syllables", "random"), ("passage", "passage"))

@@ -11,7 +11,7 @@ from lectern.functions import paths, rates, text
 from lectern.functions.align import INSERT, errors_at, placed_scores, scores, tag_sequence, tags_sql
 from lectern.operators import dedup, link, score, segments, summary
 from lectern.plans import standins
-from lectern.plans.standins import SQL_READINGS, SQL_SCORED, sql_distance, sql_normalize, sql_tags, table
+from lectern.plans.standins import SQL_READINGS, SQL_SCORED, sql_distance, sql_edits, sql_middles, sql_normalize, sql_tags, table
 from lectern.sources import sinks, textgrid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,13 +44,17 @@ def text_normalize_ascii(spark, sf_dir):
 
 
 SQL_CLEAN = r"""lower(trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\r\n]+', ' ', 'g'), '[^\x20-\x7E]', '', 'g'), '<', ' <', 'g'), '>', '> ', 'g'), '<[^>]*>', ' ', 'g'),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\r\n]+', ' ', 'g'), '[^\x20-\x7E]', '', 'g'), ' *< *', ' <', 'g'), ' *> *', '> ', 'g'), '<[^>]*>', ' ', 'g'),
   ' +', ' ', 'g'), ' '), lambda x: NOT regexp_matches(x, '[<>]')), ' '), '[,.''0-9?!`"-]', '', 'g'), ' +', ' ', 'g')))"""
 
 
-@query(f"SELECT page_id, md5({SQL_CLEAN.format('html')}) AS digest FROM pages")
+#: Brackets without a counterpart, made from a page's address.
+_UNBALANCED = "url || ' < foo bar ' || url || ' > b< ' || url || ' >c d > e'"
+
+
+@query(f"SELECT page_id, md5({SQL_CLEAN.format('html')}) AS digest, {SQL_CLEAN.format('(' + _UNBALANCED + ')')} AS unbalanced FROM pages")
 def text_clean(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean(F.col("html"))).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean(F.col("html"))).alias("digest"), text.clean(F.expr(_UNBALANCED)).alias("unbalanced"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s\x0B\p{Z}]+')) AS BIGINT) AS n_tokens FROM documents")
@@ -312,7 +316,7 @@ def mistake_counts(spark, sf_dir):
 
 @query(f"WITH {SQL_READINGS} SELECT audio_file, CAST({sql_distance('ref', 'hyp')} AS BIGINT) AS errors, CAST(len(ref) AS BIGINT) AS n FROM readings")
 def word_errors(spark, sf_dir):
-    d = score.score_rows(standins.readings(spark, sf_dir))
+    d = score.error_rows(standins.readings(spark, sf_dir))
     return d.select("audio_file", (F.col("S_ref_hyp") + F.col("D_ref_hyp") + F.col("I_ref_hyp")).alias("errors"), F.col("N_ref_hyp").alias("n"))
 
 
@@ -320,7 +324,32 @@ def word_errors(spark, sf_dir):
 SELECT category AS audio_type, count(*) AS n, 100.0 * sum(e) / sum(n) AS rate_ref_hyp FROM e GROUP BY GROUPING SETS ((category), ())""")
 def wer_by_category(spark, sf_dir):
     """The headline question: word error rate of each task and overall."""
-    return summary.error_rates(score.score_rows(standins.readings(spark, sf_dir)), prefixes=("ref_hyp",))
+    return summary.error_rates(score.error_rows(standins.readings(spark, sf_dir)), prefixes=("ref_hyp",))
+
+
+_PAIRS = (("ref", "hyp"), ("can", "ref"), ("can", "hyp"))
+
+
+def _sql_score_rows() -> str:
+    """Whole texts as the readings have them, unit-cost counts, tags, and what the alignment of the two tag sequences says."""
+    counts = lambda c, names, suffix: ", ".join(f"CAST({_COUNT(c, k.lower())} AS BIGINT) AS {k}_{suffix}" for k in names)
+    both = "len(list_filter(z, lambda x: x.p = '{0}' AND x.t = '{0}'))"
+    fine = []
+    for k, name in (("s", "sub"), ("i", "ins"), ("d", "del")):
+        tp = both.format(k)
+        fine += [f"CAST({tp} AS BIGINT) AS {name}_tp", f"CAST({_COUNT('p', k)} - {tp} AS BIGINT) AS {name}_fp", f"CAST({_COUNT('t', k)} - {tp} AS BIGINT) AS {name}_fn"]
+    return f"""WITH {SQL_READINGS}, t AS (SELECT *, {sql_tags('can', 'ref')} AS t, {sql_tags('can', 'hyp')} AS p FROM readings WHERE category IS NOT NULL),
+u AS (SELECT *, {', '.join(f"{x} AS {a}_{b}_{n}" for a, b in _PAIRS for n, x in zip('xy', sql_middles(a, b)))} FROM t),
+e AS (SELECT *, {', '.join(f"CASE WHEN len({a}) = 0 THEN repeat('i', len({b})) ELSE {sql_edits(f'{a}_{b}_x', f'{a}_{b}_y')} END AS {n}" for n, (a, b) in zip(('rh', 'cr', 'ch'), _PAIRS))}, string_split_regex(t, '') AS t_list, string_split_regex(p, '') AS p_list FROM u),
+m AS (SELECT *, {sql_tags('t_list', 'p_list')} AS m FROM e),
+z AS (SELECT *, list_transform(range(1, len(m) + 1), lambda k: {{'p': CASE WHEN m[k] = 'd' THEN '-' ELSE p[len(replace(m[:k], 'd', ''))] END, 't': CASE WHEN m[k] = 'i' THEN '-' ELSE t[len(replace(m[:k], 'i', ''))] END}}) AS z FROM m)
+SELECT learner_id, audio_file, category AS audio_type, array_to_string(can, ' ') AS CAN, array_to_string(ref, ' ') AS REF, array_to_string(hyp, ' ') AS HYP,
+  {counts('rh', 'SDI', 'ref_hyp')}, CAST(len(ref) - ({_COUNT('rh', 's')}) - ({_COUNT('rh', 'd')}) AS BIGINT) AS C_ref_hyp, CAST(len(ref) AS BIGINT) AS N_ref_hyp,
+  CAST(len(can) - ({_COUNT('cr', 's')}) - ({_COUNT('cr', 'd')}) AS BIGINT) AS C_can_ref, CAST(len(can) - ({_COUNT('ch', 's')}) - ({_COUNT('ch', 'd')}) AS BIGINT) AS C_can_hyp,
+  {counts('m', 'SDIC', 'mer')}, CAST(len(t) AS BIGINT) AS N_mer, {', '.join(fine)}, t AS tags_can_ref, p AS tags_can_hyp, m AS tags_mer FROM z"""
+
+
+SQL["score_rows"] = _sql_score_rows()
 
 
 @query()
@@ -333,6 +362,22 @@ def score_rows_v1(spark, sf_dir):
     return score.with_advanced(score.score_rows_v1(standins.readings(spark, sf_dir)))
 
 
+def _sql_placed_errors() -> str:
+    """Errors at their places, from the tags; those without a canonical text have none."""
+    at = "CASE WHEN len(can) = 0 THEN [] ELSE list_transform(list_filter(range(1, len({0}) + 1), lambda k: {0}[k] <> 'c'), lambda k: {0}[k] || CASE WHEN {0}[k] = 'i' THEN k - 1 - ({1}) ELSE k - 1 - ({2}) END) END"
+    place = lambda c: at.format(c, f"len({c}[:k - 1]) - len(replace({c}[:k - 1], 'd', ''))", f"len({c}[:k - 1]) - len(replace({c}[:k - 1], 'i', ''))")
+    out = []
+    for k in "SDI":
+        own = lambda c, k=k: f"list_distinct(list_filter({c}, lambda x: x[1] = '{k.lower()}'))"
+        tp = f"len(list_intersect({own('a')}, {own('b')}))"
+        out += [f"CAST({tp} AS BIGINT) AS {k}_TP", f"CAST(len({own('b')}) - {tp} AS BIGINT) AS {k}_FP", f"CAST(len({own('a')}) - {tp} AS BIGINT) AS {k}_FN"]
+    return f"""WITH {SQL_READINGS}, t AS (SELECT *, {sql_tags('can', 'ref')} AS t, {sql_tags('can', 'hyp')} AS p FROM readings),
+e AS (SELECT audio_file, {place('t')} AS a, {place('p')} AS b FROM t) SELECT audio_file, CAST(len(a) AS INT) AS n_errors, {', '.join(out)} FROM e"""
+
+
+SQL["placed_errors"] = _sql_placed_errors()
+
+
 @query()
 def placed_errors(spark, sf_dir):
     d = standins.readings(spark, sf_dir)

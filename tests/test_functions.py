@@ -102,12 +102,12 @@ def plain_normalize(s):
 def plain_clean(s):
     s = re.sub(r"[\r\n]+", " ", s or "")
     s = re.sub(r"[^\x20-\x7E]", "", s)
-    s = re.sub("<[^>]*>", " ", s.replace("<", " <").replace(">", "> "))
+    s = re.sub("<[^>]*>", " ", re.sub(r"\s*>\s*", "> ", re.sub(r"\s*<\s*", " <", s)))
     s = " ".join(t for t in s.split() if "<" not in t and ">" not in t)
     return re.sub(r"\s+", " ", re.sub("[,.'0-9?!`\"-]", "", s)).strip().lower()
 
 
-TEXTS = [None, "", " \t\n", "ng'ombe ng’ombe", "Café CAFÉ", "a-b, c! d_e <unk> x", "tab\there", "a b c", "hy-phen", "<enumerator>", "un<bal anced> < x", "A\r\nB\r\n\r\nC 12 3rd `q\"", "ÀÉÎ ẞ ỿ 漢字 १२", "  many   spaces  ", "x < y > z", "don't 'quote'"]
+TEXTS = [None, "", " \t\n", "ng'ombe ng’ombe", "Café CAFÉ", "a-b, c! d_e <unk> x", "tab\there", "a b c", "hy-phen", "<enumerator>", "un<bal anced> < x", "A\r\nB\r\n\r\nC 12 3rd `q\"", "ÀÉÎ ẞ ỿ 漢字 १२", "  many   spaces  ", "x < y > z", "don't 'quote'", "a < foo bar", "a foo > b", "one > two < three four", "e\u0301 A\u030a \u212b \u1100\u1161 \u2126 \u02b0"]
 
 
 def test_text_rules(spark):
