@@ -1,11 +1,13 @@
 """Cropped and edited copies of images, by local descriptors.
 
-Corners are found at several scales; each is described by 128 comparisons of pixel
-pairs, turned with the corner's own orientation, so that brightness, contrast and
-rotation do not matter. A descriptor is entered in two tables under half of its bits
-each, which brings together all that differ in one bit and many of the near ones: far more
-corners than the few that must agree. Matches of two images vote for the shift, turn and scale between them; enough
-corners that agree make a copy. Images are binary PGM or PPM in a binary column.
+Corners are found at several scales, half an octave apart, in queries a quarter; what counts as one depends on
+the contrast around it, and each part of an image gives its strongest, so that weak
+regions have some too. A corner is described by 128 comparisons of pixel pairs, turned
+with the corner's own orientation, so that brightness, contrast and rotation do not
+matter. Descriptors are joined through Hamming tables, each keyed by 24 of the 128 bits:
+near descriptors agree in all bits of some table. Matches of two images vote for the
+shift, turn and scale between them; enough corners that agree make a copy. Images are
+binary PGM or PPM in a binary column.
 """
 
 from __future__ import annotations
@@ -14,21 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
-
-SCALES = 3
-RADIUS, TESTS, TABLES, TURNS = 8, 128, 2, 24
-#: Corners of one scale of an image: one for this many pixels, the strongest.
-PIXELS_A_CORNER = 200
-CORNER = 40.0
-#: Bits in which matching descriptors may differ, cell of a vote in pixels, and corners that must agree.
-MAX_BITS, CELL, AGREEING = 24, 16, 6
+from lectern.llm.common import bit_map, in_map, materialise, remove
+
+#: Levels of size, in quarter octaves: of all images, and of queries.
+SCALES, FINER = range(0, 9, 2), range(9)
+RADIUS, TESTS, TURNS = 8, 128, 24
+#: Hamming tables, and bits of the key of each.
+TABLES, KEY_BITS = 20, 24
+#: Side of the parts of an image that give corners of their own, and how many each.
+PART, STRONGEST = 16, 2
+#: A corner's weaker gradient, squared, is this share of the mean one around it, and this much at least.
+SHARE, FLOOR = 0.15, 0.5
+#: Bits in which matching descriptors may differ, cell of a vote in pixels, and corners that must agree: so many, and one of so many of the query's.
+MAX_BITS, CELL, AGREEING, PORTION = 20, 8, 6, 16
 SIDE, SEED = 96, 42
-#: Query images whose tables are held at once.
-BLOCK = 2000
+#: Corners that equal images count as having in common.
+EQUAL = 1 << 20
 
 
 def _pattern() -> np.ndarray:
@@ -115,47 +122,65 @@ def corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     gx[:, :, 1:-1] = smooth[:, :, 2:] - smooth[:, :, :-2]
     yy, xx, xy = _box(gy * gy, 2), _box(gx * gx, 2), _box(gx * gy, 2)
     answer = (yy + xx) / 2 - np.sqrt(((yy - xx) / 2) ** 2 + xy * xy)  # smaller eigenvalue
-    peak = (answer >= _highest(answer, 2) - 1e-9) & (answer > CORNER)
+    peak = (answer >= _highest(answer, 2) - 1e-9) & (answer > FLOOR) & (answer > SHARE * _box((yy + xx) / 2, 4))
     edge = RADIUS
     peak[:, :edge], peak[:, -edge:], peak[:, :, :edge], peak[:, :, -edge:] = False, False, False, False
     i, y, x = np.nonzero(peak)
     strength = answer[i, y, x]
-    order = np.lexsort((-strength, i))
-    i, y, x = i[order], y[order], x[order]
-    nth = np.arange(len(i)) - np.searchsorted(i, i)
-    on = nth < max(4, h * w // PIXELS_A_CORNER)
+    part = (i * (h // PART + 1) + y // PART) * (w // PART + 1) + x // PART
+    order = np.lexsort((-strength, part))
+    i, y, x, part = i[order], y[order], x[order], part[order]
+    on = np.arange(len(i)) - np.searchsorted(part, part) < STRONGEST
     i, y, x = i[on], y[on], x[on]
     patch = smooth[i[:, None], y[:, None] + _DY, x[:, None] + _DX]
     angle = np.arctan2((patch * _DY).sum(1), (patch * _DX).sum(1))
     return i, y, x, np.round(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
 
 
-def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
+def _smaller(stack: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Smoothed images at another size, between the nearest pixels."""
+    smooth = _box(stack, 1)
+    for axis, n in ((1, h), (2, w)):
+        size = smooth.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)
+        low = np.minimum(at.astype(np.int64), size - 2) if size > 1 else np.zeros(n, np.int64)
+        share = (at - low).reshape((1, -1, 1) if axis == 1 else (1, 1, -1))
+        smooth = np.take(smooth, low, axis) * (1 - share) + np.take(smooth, np.minimum(low + 1, size - 1), axis) * share
+    return smooth
+
+
+def describe(stack: np.ndarray, scales: range = SCALES) -> dict[str, np.ndarray]:
     """Corners of all scales with their descriptors as two 64-bit words; places are those of the full size."""
     out: dict[str, list] = {k: [] for k in ("image", "y", "x", "scale", "turn", "words")}
-    level = stack.astype(np.float64)
-    for scale in range(SCALES):
+    whole = stack.astype(np.float64)
+    _, height, width = whole.shape
+    for scale in scales:
+        h, w = round(height / 2 ** (scale / 4)), round(width / 2 ** (scale / 4))
+        if min(h, w) < 2 * RADIUS + 3:
+            break
+        level = whole
+        for _ in range(scale // 4):  # smoothed at each octave
+            level = _smaller(level, round(level.shape[1] / 2), round(level.shape[2] / 2))
+        if scale % 4:
+            level = _smaller(level, h, w)
         i, y, x, turn = corners(level)
         if len(i):
             smooth = np.round(_box(level, 1) * 8) / 8
             p = PATTERN[turn]
             bits = smooth[i[:, None], y[:, None] + p[:, :, 0], x[:, None] + p[:, :, 1]] < smooth[i[:, None], y[:, None] + p[:, :, 2], x[:, None] + p[:, :, 3]]
             out["words"].append(np.packbits(bits, axis=1).view(">i8").astype(np.int64))
-            for k, v in (("image", i), ("y", (y + 0.5) * 2**scale), ("x", (x + 0.5) * 2**scale), ("scale", np.full(len(i), scale)), ("turn", turn)):
+            sizes = height / level.shape[1], width / level.shape[2]
+            for k, v in (("image", i), ("y", (y + 0.5) * sizes[0]), ("x", (x + 0.5) * sizes[1]), ("scale", np.full(len(i), scale)), ("turn", turn)):
                 out[k].append(v)
-        h, w = level.shape[1] // 2 * 2, level.shape[2] // 2 * 2
-        if min(h, w) < 4:
-            break
-        level = level[:, :h, :w].reshape(len(level), h // 2, 2, w // 2, 2).mean((2, 4))
     if not out["image"]:
-        return {k: np.zeros((0, TABLES) if k == "words" else 0, np.int64) for k in out}
+        return {k: np.zeros((0, 2) if k == "words" else 0, np.int64) for k in out}
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-CORNERS = np.dtype([("y", "<f4"), ("x", "<f4"), ("scale", "u1"), ("turn", "u1"), ("words", "<i8", (TABLES,))])
+CORNERS = np.dtype([("y", "<f4"), ("x", "<f4"), ("scale", "u1"), ("turn", "u1"), ("words", "<i8", (2,))])
 
 
-def _descriptors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _descriptors(parts: Iterator[pd.DataFrame], scales: range = SCALES) -> Iterator[pd.DataFrame]:
     for p in parts:
         by_shape: dict[tuple, list] = {}
         for k, data in zip(p["key"].tolist(), p["image"], strict=True):
@@ -165,7 +190,7 @@ def _descriptors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shape, some in by_shape.items():
             step = max(1, 600_000 // (shape[0] * shape[1]))
             for a in range(0, len(some), step):
-                d = describe(np.stack([x for _, x in some[a : a + step]]))
+                d = describe(np.stack([x for _, x in some[a : a + step]]), scales)
                 c = np.zeros(len(d["image"]), CORNERS)
                 for f in CORNERS.names:
                     c[f] = d[f]
@@ -174,81 +199,70 @@ def _descriptors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"key": [k for k, _ in some[a : a + step]], "corners": [c[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
 
 
-def descriptors(images: DataFrame) -> DataFrame:
+def descriptors(images: DataFrame, scales: range = SCALES) -> DataFrame:
     """(key, corners) of (key, image) rows: an array of CORNERS for each readable image."""
-    return images.select("key", "image").mapInPandas(_descriptors, "key long, corners binary")
-
-
-def _stacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All corners of some images, and the row each belongs to."""
-    each = [np.frombuffer(c, CORNERS) for c in rows["corners"]]
-    return (np.concatenate(each) if each else np.zeros(0, CORNERS)), np.repeat(np.arange(len(each)), [len(c) for c in each])
-
-
-class Index:
-    """Hamming tables over the corners of a block of query images."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.keys = rows["key"].to_numpy(np.int64)
-        self.corners, self.image = _stacked(rows)
-        self.order = [np.argsort(self.corners["words"][:, t], kind="stable") for t in range(TABLES)]
-        self.sorted = [self.corners["words"][o, t] for t, o in enumerate(self.order)]
-
-    def matches(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query corner, corner) pairs near each other, each once though it may be in several tables."""
-        out = []
-        for t in range(TABLES):
-            word = corners["words"][:, t]
-            low, high = np.searchsorted(self.sorted[t], word), np.searchsorted(self.sorted[t], word, "right")
-            n = high - low
-            mine = np.repeat(np.arange(len(word)), n)
-            theirs = self.order[t][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            both = self.corners["words"][theirs] ^ corners["words"][mine]
-            on = (np.bitwise_count(both).sum(1) <= MAX_BITS) & (both[:, :t] != 0).all(1)
-            out.append((theirs[on], mine[on]))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
-    def agreeing(self, corners: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query image, image, corners) where enough matches agree on one shift, turn and scale.
-
-        Cells overlap by half, so that what agrees is never divided.
-        """
-        i, j = self.matches(corners)
-        q, c = self.corners[i], corners[j]
-        zoom = c["scale"].astype(np.int64) - q["scale"]
-        turn = (c["turn"].astype(np.int64) - q["turn"]) % TURNS
-        ratio, angle = 2.0**zoom, 2 * np.pi * turn / TURNS
-        ty = np.floor((c["y"] - ratio * (np.sin(angle) * q["x"] + np.cos(angle) * q["y"])) / CELL).astype(np.int64)
-        tx = np.floor((c["x"] - ratio * (np.cos(angle) * q["x"] - np.sin(angle) * q["y"])) / CELL).astype(np.int64)
-        pair = self.image[i] * (image.max(initial=0) + 1) + image[j]
-        best: dict[int, int] = {}
-        for a in (0, 1):
-            for b in (0, 1):
-                for r in (0, 1):
-                    votes = np.stack([pair, zoom, (turn + r) % TURNS, ty + a, tx + b, i], 1)
-                    votes = np.unique(votes, axis=0)  # a corner votes once in a cell
-                    first = np.flatnonzero(np.concatenate(([True], (votes[1:, :5] != votes[:-1, :5]).any(1)))) if len(votes) else np.zeros(0, np.int64)
-                    n = np.diff(np.concatenate((first, [len(votes)])))
-                    for k, m in zip(votes[first[n >= AGREEING], 0].tolist(), n[n >= AGREEING].tolist(), strict=True):
-                        best[k] = max(best.get(k, 0), m)
-        got = np.array(sorted(best.items()), np.int64).reshape(-1, 2)
-        width = image.max(initial=0) + 1
-        return got[:, 0] // width, got[:, 0] % width, got[:, 1]
-
-
-def _search(index):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = index.value
-        step = max(1, 2_000 // max(1, len(block.keys)) * 8)
+    return images.select("key", "image").mapInPandas(lambda parts: _descriptors(parts, scales), "key long, corners binary")
+
+
+_BITS = np.stack([np.sort(np.random.default_rng([SEED, t]).permutation(TESTS)[:KEY_BITS]) for t in range(TABLES)])
+
+
+def table_keys(words: np.ndarray) -> np.ndarray:
+    """The key of each descriptor in each table, stirred so that any of its bits will do."""
+    bits = np.unpackbits(np.ascontiguousarray(words.astype(">i8")).view(np.uint8).reshape(-1, 16), axis=1)
+    out = np.empty((len(words), TABLES), np.uint64)
+    for t in range(TABLES):
+        packed = np.packbits(bits[:, _BITS[t]], axis=1)
+        out[:, t] = (packed[:, 0].astype(np.uint64) << np.uint64(16) | packed[:, 1].astype(np.uint64) << np.uint64(8) | packed[:, 2]) + np.uint64(t << KEY_BITS)
+    out = (out + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (out ^ out >> np.uint64(29)).view(np.int64)
+
+
+ENTRY = "at long, key long, nth int, y float, x float, scale int, turn int, a long, b long"
+
+
+def _entries(known=None):
+    """A row for each corner and table, (if ``known``) of those whose key some query has."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            for a in range(0, len(p), step):
-                some = p.iloc[a : a + step]
-                q, k, n = block.agreeing(*_stacked(some))
-                yield pd.DataFrame({"query": block.keys[q], "key": some["key"].to_numpy()[k], "corners": n})
+            for start in range(0, len(p), 256):
+                some = p.slice(start, 256)
+                each = [np.frombuffer(c, CORNERS) for c in some["corners"].to_pylist()]
+                size = [len(c) for c in each]
+                c = np.concatenate([np.zeros(0, CORNERS), *each])
+                keys = table_keys(c["words"])
+                i, t = np.nonzero(np.ones(keys.shape, bool) if known is None else in_map(known.value, keys.ravel()).reshape(keys.shape))
+                key, nth = np.repeat(some["key"].to_numpy(), size)[i], (np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size))[i]
+                c = c[i]
+                columns = [keys[i, t], key, nth.astype(np.int32), c["y"], c["x"], c["scale"].astype(np.int32), c["turn"].astype(np.int32), c["words"][:, 0], c["words"][:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["at", "key", "nth", "y", "x", "scale", "turn", "a", "b"])
 
     return run
 
 
+def agreeing(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query, key, corners) where enough matches agree on one shift, turn and scale.
+
+    Cells reach over two steps in shift, turn and scale, and begin at each, so that what
+    agrees is never divided; a query's corner votes once in a cell.
+    """
+    q = asked.select("at", *[F.col(c).alias(f"q_{c}") for c in ("key", "nth", "y", "x", "scale", "turn", "a", "b")])
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("q_a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("q_b")))
+    met = entries.join(q, "at").where(apart <= MAX_BITS).dropDuplicates(["q_key", "q_nth", "key", "nth"])
+    zoom, turn = F.col("scale") - F.col("q_scale"), F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
+    ratio, angle = F.pow(F.lit(2.0), zoom / 4), turn * (2 * np.pi / TURNS)
+    sin, cos, qy, qx = F.sin(angle), F.cos(angle), F.col("q_y").cast("double"), F.col("q_x").cast("double")
+    ty = F.floor((F.col("y") - ratio * (sin * qx + cos * qy)) / CELL)
+    tx = F.floor((F.col("x") - ratio * (cos * qx - sin * qy)) / CELL)
+    votes = met.select(F.col("q_key").alias("query"), "key", "q_nth", zoom.alias("zoom"), turn.alias("turn"), ty.alias("ty"), tx.alias("tx"))
+    every = F.array(*[F.struct((F.col("zoom") + z).alias("z"), F.pmod(F.col("turn") + r, F.lit(TURNS)).alias("r"), (F.col("ty") + a).alias("y"), (F.col("tx") + b).alias("x")) for z in (0, 1) for r in (0, 1) for a in (0, 1) for b in (0, 1)])
+    cells = votes.select("query", "key", "q_nth", F.explode(every).alias("cell")).distinct()
+    most = cells.groupBy("query", "key", "cell").agg(F.count("*").alias("n")).where(F.col("n") >= AGREEING).groupBy("query", "key").agg(F.max("n").alias("corners"))
+    of = asked.groupBy(F.col("key").alias("k")).agg((F.count_distinct("nth") / PORTION).alias("least"))
+    return most.join(of, F.col("query") == F.col("k")).where(F.col("corners") >= F.col("least")).select("query", "key", "corners")
+
+
 def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """(query, n_copies, best, classes): for each query image, the images it is a copy of, or that are copies of it.
 
@@ -257,32 +271,35 @@ def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image
     counts their members, ``best`` is the class that most corners agree on (the
     smallest on a tie; null if there is none). Every query has one row for each of its
     rows; null, empty and damaged images have no corners and find nothing. Rows with a
-    null id are left out. Other columns are ignored.
+    null id are left out. Other columns are ignored. Equal images are found whether they
+    have corners or not.
 
-    The queries go in blocks of about BLOCK images, dealt by hash, against all images:
-    an image's corners never part, so that tables and votes stay within a task and only
-    what agrees leaves it.
+    Corners of all images whose keys no query has are left out where they are read, by
+    a map of bounded size; the rest are joined by key, and votes are counted by pair of
+    images, both by what adaptive execution can split.
     """
     spark = images.sparkSession
     own = images.where(F.col(id_col).isNotNull() & F.col(image_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(image_col).alias("image"))
     hashes = materialise(own.select("key", F.sha2("image", 256).alias("hash")), "image-hashes")
     classes = materialise(hashes.groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("members")), "image-classes")
-    copies = hashes.join(classes.where("members > 1"), "hash").where("key <> first").select("key").distinct()
-    copies = materialise(copies, "image-copies")  # written, so that its size decides how it is joined
-    mine = materialise(descriptors(own).join(copies, "key", "left_anti"), "image-corners")
+    # the first of each class is searched; of rows that share an id, all
+    firsts = materialise(classes.select(F.col("first").alias("key"), "hash"), "image-firsts")
+    one = own.withColumn("hash", F.sha2("image", 256)).join(firsts, ["key", "hash"], "left_semi")
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(image_col).alias("image"))
-    block = materialise(descriptors(asked), "image-queries")
-    blocks = max(1, -(-block.count() // BLOCK))
-    found = None
-    for b in range(blocks):
-        index = spark.sparkContext.broadcast(Index(block.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toPandas()))
-        some = materialise(mine.mapInPandas(_search(index), "query long, key long, corners long"), "image-found")
-        found = some if found is None else found.unionByName(some)
-    found = found.groupBy("query", "key").agg(F.max("corners").alias("corners")).join(classes.select(F.col("first").alias("key"), "members"), "key")
+    of_queries = materialise(descriptors(asked, FINER).mapInArrow(_entries(), ENTRY), "image-queries")
+    known = spark.sparkContext.broadcast(bit_map(of_queries, "at", of_queries.count()))  # of bounded size
+    entries = materialise(descriptors(one).mapInArrow(_entries(known), ENTRY), "image-entries")
+    found = agreeing(of_queries, entries)
+    equal = asked.where(F.col("image").isNotNull() & (F.length("image") > 0)).select(F.col("key").alias("query"), F.sha2("image", 256).alias("hash")).join(classes, "hash").select("query", F.col("first").alias("key"), F.lit(EQUAL).cast("long").alias("corners"))
+    found = materialise(found.unionByName(equal).groupBy("query", "key").agg(F.max("corners").alias("corners")), "image-found")
+    sizes = classes.groupBy(F.col("first").alias("key")).agg(F.sum("members").alias("members"))
     best = F.max_by("key", F.struct("corners", -F.col("key")))
-    answers = found.groupBy("query").agg(F.sum("members").alias("n_copies"), best.alias("best"), F.sort_array(F.collect_list("key")).alias("classes"))
+    answers = found.join(sizes, "key").groupBy("query").agg(F.sum("members").alias("n_copies"), best.alias("best"), F.sort_array(F.collect_list("key")).alias("classes"))
     a = asked.select(F.col("key").alias("q")).join(answers, F.col("q") == F.col("query"), "left")
-    return a.select(F.col("q").alias("query"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "best", F.coalesce("classes", F.array().cast("array<long>")).alias("classes"))
+    out = materialise(a.select(F.col("q").alias("query"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "best", F.coalesce("classes", F.array().cast("array<long>")).alias("classes")), "image-copies")
+    for done in (hashes, classes, firsts, of_queries, entries, found):
+        remove(spark, done.scratch_path)
+    return out
 
 
 def _basis() -> np.ndarray:

@@ -30,8 +30,8 @@ def test_turning_and_brightness_leave_descriptors():
 
 
 def plain(query, target):
-    """Corners that agree, without tables and over all offsets."""
-    q, t = images.describe(query[None].astype(float)), images.describe(target[None].astype(float))
+    """Query corners that agree, without tables and over all offsets."""
+    q, t = images.describe(query[None].astype(float), images.FINER), images.describe(target[None].astype(float))
     if not len(q["y"]) or not len(t["y"]):
         return 0
     near = np.bitwise_count(q["words"][:, None] ^ t["words"][None]).sum(2) <= images.MAX_BITS
@@ -64,6 +64,48 @@ def test_finds_crops_edits_and_turns(spark):
     assert len(links) >= 10 and np.mean([t in by[q].classes for q, t in links]) >= 0.9
 
 
+def test_equal_images_without_corners(spark):
+    flat = images.encode(np.full((40, 40), 9))
+    df = spark.createDataFrame([(1, flat), (2, flat), (3, images.encode(np.full((40, 40), 8)))], "id long, image binary")
+    (r,) = images.find_copies(df, spark.createDataFrame([(7, flat)], "id long, image binary")).collect()
+    assert (r.n_copies, r.best, r.classes) == (2, 1, [1])
+
+
+def _resized(x, f):
+    h, w = (round(n * f) for n in x.shape)
+    at = [np.clip((np.arange(n) + 0.5) / f - 0.5, 0, m - 1) for n, m in zip((h, w), x.shape, strict=True)]
+    i, j = (np.minimum(a.astype(int), m - 2) for a, m in zip(at, x.shape, strict=True))
+    u, v = (at[0] - i)[:, None], at[1] - j
+    return (x[i][:, j] * (1 - u) + x[i + 1][:, j] * u) * (1 - v) + (x[i][:, j + 1] * (1 - u) + x[i + 1][:, j + 1] * u) * v
+
+
+def _tilted(x, degrees):
+    a, (h, w) = np.deg2rad(degrees), x.shape
+    y, z = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    i, j = np.cos(a) * y - np.sin(a) * z + (h - 1) / 2, np.sin(a) * y + np.cos(a) * z + (w - 1) / 2
+    i, j = np.clip(i, 0, h - 1.001), np.clip(j, 0, w - 1.001)
+    p, q = i.astype(int), j.astype(int)
+    u, v = i - p, j - q
+    return (x[p, q] * (1 - u) + x[p + 1, q] * u) * (1 - v) + (x[p, q + 1] * (1 - u) + x[p + 1, q + 1] * u) * v
+
+
+@pytest.mark.parametrize("kind", ["blurred", "noisy", "smaller", "much smaller", "larger", "tilted", "faint", "weak part"])
+def test_recall_of_edits(spark, kind):
+    x = textures(30, 9).astype(float)
+    rng = np.random.default_rng(8)
+    change = {
+        "blurred": lambda y: images._box(y[None], 1)[0], "noisy": lambda y: y + rng.normal(0, 6, y.shape), "smaller": lambda y: _resized(y, 0.8), "much smaller": lambda y: _resized(y, 0.6),
+        "larger": lambda y: _resized(y, 1.3), "tilted": lambda y: _tilted(y, 9)[10:86, 10:86], "faint": lambda y: y * 0.25 + 60, "weak part": lambda y: y[6:90, 6:46],
+    }[kind]
+    if kind == "weak part":
+        x[:, :, :48] = x[:, :, :48] * 0.3 + 80
+    asked = [(i, images.encode(np.clip(np.round(change(y)), 0, 255))) for i, y in enumerate(x)]
+    rows = [(i, images.encode(np.clip(y, 0, 255))) for i, y in enumerate(x)]
+    got = images.find_copies(*[spark.createDataFrame(r, "id long, image binary") for r in (rows, asked)]).collect()
+    assert np.mean([r["query"] in r.classes for r in got]) >= 0.9
+    assert sum(len(set(r.classes) - {r["query"]}) for r in got) <= 1
+
+
 @pytest.mark.parametrize("rows", [0, 3])
 def test_rendered(spark, rows):
     v = np.random.default_rng(3).normal(size=(3, 64)).tolist()
