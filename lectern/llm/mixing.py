@@ -3,8 +3,8 @@
 Slots are numbered from zero. Slot n has the point frac(n * golden ratio), in fixed
 point; the cumulative target shares map it to a source, and its rank among the slots
 of that source says which block it plays. A source's documents, shuffled by a keyed
-hash, form one stream of words that is cut into blocks of equal size; the stream is
-played from its start again when it ends, three times at most.
+hash, form one stream of words, which begins again when it ends, three times at most; that
+is cut into blocks of equal size, so that no block is short but the very last.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, materialise
+from lectern.llm.common import SPACE, boxed, materialise
 
 #: Words of a block.
 BLOCK = 32
@@ -110,20 +110,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = materialise(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-plan")
     whole = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.count("*").alias("rows")).first()
     slots = -(-whole["words"] // block)
-    blocks = plan.select("k", F.ceil(F.col("source_size") / block).alias("blocks"))
-    played = schedule(plan, slots).join(blocks, "k").where(F.col("rank") < REPEATS * F.col("blocks")).groupBy("k", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("plays"))
-    parts = placed(sizes, plan, whole["rows"], seed).withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
-    overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    taken = parts.join(played, ["k", "block"], "left").groupBy("id", "k", "size", "at").agg(F.sum(overlap * F.coalesce("plays", F.lit(0))).alias("taken"))
+    # written, as the last rank of each source bounds the blocks that documents are cut into
+    played = materialise(schedule(plan, slots), "mix-schedule")
+    last = played.groupBy("k").agg(((F.max("rank") + 1) * block).alias("upto")).join(plan.select("k", "source_size"), "k")
+    times = F.filter(F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), lambda j: F.col("at") + j * F.col("source_size")), lambda x: x < F.col("upto"))
+    parts = placed(sizes, plan, whole["rows"], seed).join(last, "k").withColumn("begin", F.explode_outer(times))
+    upto = F.least(F.col("begin") + F.col("size"), F.col("upto"))
+    parts = parts.withColumn("block", F.explode_outer(F.sequence(F.floor(F.col("begin") / block), F.floor((upto - 1) / block))))
+    parts = parts.join(played.select("k", F.col("rank").alias("block"), F.lit(1).alias("plays")), ["k", "block"], "left")
+    overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
+    taken = parts.groupBy("id", "k", "size", "at").agg(F.coalesce(F.sum(overlap * F.col("plays")), F.lit(0)).alias("taken"))
+    bare = placed(sizes, plan, whole["rows"], seed).join(last.select("k"), "k", "left_anti").select("id", "k", "size", F.lit(0).cast("long").alias("taken"))  # of sources without a slot
     none = sizes.where("size = 0").join(plan.select("k", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).select("id", "k", "size", F.lit(0).cast("long").alias("taken"))
-    return taken.select("id", "k", "size", "taken").unionByName(none).join(plan, "k").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+    return taken.select("id", "k", "size", "taken").unionByName(bare).unionByName(none).join(plan, "k").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated as often as the mix plays it, to the nearest whole number."""
-    plays = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("_id")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_plays"))
-    d = docs.join(plays.where("_plays > 0"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return d.withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("_plays")))).select(*docs.columns)
+    plays = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("id")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("plays"))
+    d = boxed(docs).join(plays.where("plays > 0"), F.col("row")[id_col].eqNullSafe(F.col("id")))
+    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("plays")))).select("row.*")
 
 
 SQL = f"""
@@ -143,23 +149,21 @@ ends AS (
   SELECT *, sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
     nullif(CAST(sum(source_size) OVER () AS DOUBLE), 0.0) AS whole, max(CASE WHEN target > 0 THEN k END) OVER () AS last_k FROM fixed),
 plan AS (
-  SELECT *, coalesce(lag(upto) OVER (ORDER BY k), 0.0) / whole AS lo, CASE WHEN k = last_k THEN 2.0 ELSE upto / whole END AS hi,
-    CAST(ceil(source_size / {BLOCK}) AS BIGINT) AS blocks FROM ends),
+  SELECT *, coalesce(lag(upto) OVER (ORDER BY k), 0.0) / whole AS lo, CASE WHEN k = last_k THEN 2.0 ELSE upto / whole END AS hi FROM ends),
 points AS (
   SELECT n, ((((n >> 20) * {STEP}) % {ONE}) * {1 << 20} + (n & {(1 << 20) - 1}) * {STEP}) % {ONE} / {float(ONE)} AS x
   FROM (SELECT unnest(range(CAST(ceil(sum(size) / {BLOCK}) AS BIGINT))) AS n FROM sizes)),
 ranked AS (
-  SELECT p.k, p.blocks, row_number() OVER (PARTITION BY p.k ORDER BY n) - 1 AS rank FROM points JOIN plan p ON x >= lo AND x < hi),
-played AS (
-  SELECT k, rank % blocks AS block, count(*) AS plays FROM ranked WHERE rank < {REPEATS} * blocks GROUP BY ALL),
+  SELECT p.k, 1 AS played, row_number() OVER (PARTITION BY p.k ORDER BY n) - 1 AS block FROM points JOIN plan p ON x >= lo AND x < hi),
 placed AS (
-  SELECT doc_id, k, size, coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  SELECT doc_id, k, size, source_size, coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM sizes JOIN plan ON sizes.source IS NOT DISTINCT FROM plan.source WHERE size > 0),
+times AS (SELECT *, pos + unnest(range({REPEATS})) * source_size AS start FROM placed),
 parts AS (
-  SELECT *, unnest(range(CAST(pos // {BLOCK} AS BIGINT), CAST((pos + size - 1) // {BLOCK} AS BIGINT) + 1)) AS block FROM placed),
+  SELECT *, unnest(range(CAST(start // {BLOCK} AS BIGINT), CAST((start + size - 1) // {BLOCK} AS BIGINT) + 1)) AS block FROM times),
 taken AS (
-  SELECT doc_id, parts.k, size, pos, sum((least(pos + size, (block + 1) * {BLOCK}) - greatest(pos, block * {BLOCK})) * coalesce(plays, 0)) AS taken
-  FROM parts LEFT JOIN played USING (k, block) GROUP BY ALL)
+  SELECT doc_id, k, size, pos, sum(CASE WHEN played IS NULL THEN 0 ELSE least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}) END) AS taken
+  FROM parts LEFT JOIN ranked USING (k, block) GROUP BY ALL)
 SELECT doc_id, source, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM taken JOIN plan USING (k)
 UNION ALL
 SELECT s.doc_id, s.source, s.size, p.source_size, p.target, 0 FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source WHERE s.size = 0

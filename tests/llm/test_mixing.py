@@ -42,6 +42,29 @@ def test_targets_and_plays(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_small_sources_come_near_their_targets(spark):
+    data = [(0, "w " * 5, "a", 1, ""), (1, "w " * 40, "b", 1, ""), (2, "w " * 200, "c", 1, "")] + [(10 + i, "w " * 300, "d", 1, "") for i in range(40)]
+    got = [r.asDict() for r in mixing.mix(rows(spark, data)).collect()]
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    target = {r["source"]: r["target"] for r in got}
+    assert target["b"] == 120 and target["c"] == 600
+    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK for s in target), (taken, target)
+
+
+def test_stays_native(spark, capsys):
+    mixing.mix(rows(spark, [(1, "a b", "s", 1, "")])).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_own_columns_stay(spark):
+    d = spark.createDataFrame([(1, "w " * 64, "a", 5, 6, 7)], "doc_id long, text string, source string, _id int, plays int, row int")
+    assert [tuple(r)[3:] for r in mixing.resample(d).collect()] == [(5, 6, 7)]
+
+
 def test_without_words(spark):
     assert mixing.mix(rows(spark, [])).count() == 0
     got = mixing.mix(rows(spark, [(1, None, None, 1, ""), (2, "", "a", 1, "")])).collect()
