@@ -59,11 +59,11 @@ def attach_passages(items: DataFrame, passages: DataFrame, text_col: str = "cano
     """Items of type passage_num<n> with the text of passage n, which replaces any they had.
 
     ``passages`` is (raw_num, passage_text); rows without a digit are left out, and "nan"
-    counts as no text.
+    counts as no text; white space at a text's ends goes.
     """
     right = passages.where(F.col("raw_num").rlike("\\d")).select(passage_number(F.col("raw_num")).alias("_num"), F.col("passage_text").alias("_text"))
     out = items.withColumn("passage_num", passage_number(F.col("audio_type"), "passage_num(\\d+)"))
-    text = F.when(F.lower(F.trim("_text")) == "nan", None).otherwise(F.col("_text"))
+    text = F.when(F.lower(F.trim("_text")) == "nan", None).otherwise(strip(F.col("_text")))
     out = out.join(right, F.col("passage_num") == F.col("_num"), "left")
     return out.withColumn(text_col, F.coalesce(text, F.col(text_col))).drop("_num", "_text")
 

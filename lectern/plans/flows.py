@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,14 @@ def segment_manifest(spark: SparkSession, manifest_path: str, grids_path: str, o
     return out.select("audio_filepath", "duration", F.lit("").alias("pred_text"), F.col("text").alias("ref_text"), "can_text", "wav", "first_sample", "last_sample"), segments.skip_reasons(records, records, linked, intervals)
 
 
+def transcribe_segments(files: DataFrame, intervals: DataFrame, load_model: Callable[[], audio.Model], rate: int = audio.RATE) -> DataFrame:
+    """Hypotheses of (path, content) recordings from their annotated intervals (wav, idx, xmin, xmax, text) alone, joined in order."""
+    records = files.select(F.col("path").alias("wav"), F.lit(None).cast("long").alias("samples"))
+    cuts = segments.cut(records, intervals, "", rate)
+    found = audio.pieces(files, cuts, rate).join(cuts.select("audio_filepath", F.col("wav").alias("path"), F.col("idx").cast("long").alias("idx")), "audio_filepath")
+    return audio.transcribe(found.select("path", "idx", "content"), load_model, rate)
+
+
 def score_legacy(spark: SparkSession, items: DataFrame, learners_csv: str) -> dict[str, DataFrame]:
     """The older profile: detailed rows, the overall row, task blocks."""
     meta = tables.read_csv(spark, learners_csv).drop("ord")
@@ -102,6 +112,6 @@ def cross_check(spark: SparkSession, manifest_path: str, tolerance: float | None
 
     rows = manifests.read_scored(spark, manifest_path)
     n = lambda c: normalize(F.col(c))
-    each = rows.withColumn("c", error_counts(n("text"), n("pred_text"))).select("*", F.col("c.N").alias("tokens"), F.try_divide((F.col("c.S") + F.col("c.D") + F.col("c.I")).cast("double"), F.col("c.N")).alias("wer")).drop("c")
+    each = rows.withColumn("c", error_counts(n("text"), n("pred_text"))).select("*", F.col("c.N").alias("tokens"), F.try_divide((F.col("c.S") + F.col("c.D") + F.col("c.I")).cast("double"), F.col("c.N")).alias("wer"), F.try_divide(F.levenshtein(n("text"), n("pred_text")).cast("double"), F.length(n("text"))).alias("cer")).drop("c")
     rate = summary.corpus_error_rate(rows.select(n("text").alias("t"), n("pred_text").alias("h")), "t", "h", characters)
     return each, rate if tolerance is None else summary.within_tolerance(rate, "rate", tolerance)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from lectern.functions.align import INSERT, errors_at, placed_scores, scores, ta
 from lectern.operators import dedup, link, score, segments, summary
 from lectern.plans import standins
 from lectern.plans.standins import SQL_READINGS, SQL_SCORED, sql_distance, sql_edits, sql_middles, sql_normalize, sql_tags, table
-from lectern.sources import sinks, textgrid
+from lectern.sources import manifests, sinks, textgrid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,7 +179,7 @@ def attach_texts(spark, sf_dir):
 @query("SELECT doc_id, coalesce(b.text, lang) AS canonical_text, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 60 AS INT) END AS passage_num FROM documents LEFT JOIN benchmark b ON doc_id % 2 = 0 AND doc_id % 60 = item_id")
 def attach_passages(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("canonical_text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("passage_num"), F.col("doc_id") % 60)).otherwise("iso_letter_1").alias("audio_type"))
-    passages = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("no. "), "item_id", F.lit(" of 9")).alias("raw_num"), F.col("text").alias("passage_text"))
+    passages = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("no. "), "item_id", F.lit(" of 9")).alias("raw_num"), F.concat(F.lit(" \t"), "text", F.lit(" \n")).alias("passage_text"))
     return link.attach_passages(items, passages.unionByName(spark.sql("SELECT 'number' AS raw_num, 'header' AS passage_text"))).select("doc_id", "canonical_text", "passage_num")
 
 
@@ -566,3 +567,39 @@ def clean_stats(spark, sf_dir):
 @query("""SELECT conv_id, role, count(*) AS n, CAST(count(*) FILTER (trim(text) <> '') AS BIGINT) AS with_text FROM conversations GROUP BY 1, 2""")
 def valid_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.count_if(~text.is_blank(F.col("text"))).alias("with_text"))
+
+
+# -- sinks and sources, there and back
+
+
+def _scratch(spark, what):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lectern-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'c' || conv_id || '_' || turn || '.wav' AS audio_name, coalesce(text, '') AS hyp_text, coalesce(role, '') AS can_text FROM conversations")
+def manifest_rows(spark, sf_dir):
+    """A manifest written as JSON lines and read again."""
+    path = _scratch(spark, "manifest")
+    name = F.concat(F.lit("/in/c"), "conv_id", F.lit("_"), "turn", F.lit(".wav"))
+    sinks.write_jsonl(table(spark, sf_dir, "conversations").select(name.alias("audio_filepath"), F.col("text").alias("pred_text"), F.col("role").alias("can_text")), path)
+    return manifests.read_manifest(spark, path).select("audio_name", "hyp_text", "can_text")
+
+
+@query(f"""WITH c AS (SELECT page_id, {SQL_CLEAN.format('html')} AS t FROM pages) SELECT 'p' || page_id AS audio_stem, md5(t) AS ref_text, 'u' AS can_text, FALSE AS manifest_hyp_present FROM c WHERE t <> ''""")
+def cleaned_manifest(spark, sf_dir):
+    """A manifest cleaned, written without empty texts, and read as rows to score."""
+    path = _scratch(spark, "cleaned")
+    name = F.concat(F.lit("/in/p"), "page_id", F.lit(".wav"))
+    sinks.write_cleaned(table(spark, sf_dir, "pages").select(name.alias("audio_filepath"), F.col("html").alias("ref_text"), F.lit("U").alias("can_text"), F.lit("gone").alias("text")), path)
+    return manifests.read_eval_manifest(spark, path).select("audio_stem", F.md5("ref_text").alias("ref_text"), "can_text", "manifest_hyp_present")
+
+
+@query(f"WITH {SQL_SCORED} SELECT macro_category, count(*) AS n, CAST(sum(S_ref_hyp) AS BIGINT) AS S_ref_hyp, CAST(count(S_can_ref) AS BIGINT) AS compared, CAST(0 AS BIGINT) AS wards FROM scored GROUP BY 1")
+def detailed_report(spark, sf_dir):
+    """Scored rows written as the detailed report, with every column it has, and read again."""
+    path = _scratch(spark, "report")
+    sinks.write_csv(sinks.with_all_columns(standins.scored(spark, sf_dir)), path, single_file=False)
+    back = spark.read.csv(path, header=True)
+    assert tuple(back.columns[: len(sinks.REPORT_COLUMNS)]) == sinks.REPORT_COLUMNS
+    return back.groupBy("macro_category").agg(F.count("*").alias("n"), F.sum("S_ref_hyp").cast("long").alias("S_ref_hyp"), F.count("S_can_ref").alias("compared"), F.count("ward").alias("wards"))

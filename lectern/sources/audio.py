@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -101,14 +104,59 @@ def pieces(files: DataFrame, cuts: DataFrame, rate: int | None = None) -> DataFr
     return files.groupBy(F.col("path")).cogroup(cuts.groupBy(F.col("wav"))).applyInPandas(run, "audio_filepath string, content binary")
 
 
-Model = Callable[[list[np.ndarray], int], list[str]]
+def write_pieces(found: DataFrame, path_col: str = "audio_filepath", content_col: str = "content") -> int:
+    """Write each (path, bytes) row as a file, and give how many there are.
+
+    The paths must lie where all workers reach them as files. A file appears whole, by
+    renaming, so that a task that runs again does no harm.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for path, data in zip(p["path"], p["content"], strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, path)
+            yield pd.DataFrame({"n": [len(p)]})
+
+    return found.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+@dataclass(frozen=True)
+class Decoding:
+    """What a model is asked for: its decoder, how many texts each, and anything of its own."""
+
+    decoder: str = "ctc"
+    n_best: int = 1
+    batch_size: int = 32
+    options: tuple[tuple[str, str], ...] = ()
+
+    def of(self, decoders: tuple[str, ...]) -> str:
+        """The decoder, if a model that has these can use it."""
+        if self.decoder not in decoders:
+            raise ValueError(f"the model decodes with {' or '.join(decoders)}, not with {self.decoder}")
+        return self.decoder
+
+
+Model = Callable[[list[np.ndarray], int], list]
+
+
+def by_duration(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt to tasks by duration, the longest first in each, so that batches hold alike ones; any order they have is in columns."""
+    known = files if "duration" in files.columns else files.withColumn("duration", F.pandas_udf(lambda c: pd.Series([header_duration(x) for x in c], dtype="float64"), "double")("content"))
+    dealt = known.repartitionByRange(*([tasks] if tasks else []), F.desc("duration"))
+    return dealt.sortWithinPartitions(F.desc("duration"))
 
 
-def transcribe(files: DataFrame, load_model: Callable[[], Model], rate: int = RATE, batch_size: int = 32) -> DataFrame:
-    """(audio_filepath, duration, pred_text, error) of (path, content[, idx]) rows through a pluggable model.
+def transcribe(files: DataFrame, load_model: Callable[[], Model], rate: int = RATE, batch_size: int = 32, n_best: int = 1) -> DataFrame:
+    """(audio_filepath, duration, pred_text, error[, n_best]) of (path, content[, idx]) rows through a pluggable model.
 
-    The model is loaded once a worker. Rows of one path are pieces of it: their texts are
-    joined by spaces in order, blank ones left out. A file that cannot be read has an error.
+    The model is loaded once a worker; it gives a text for each recording, or for
+    ``n_best`` over 1 a list of them, best first. Rows of one path are pieces of it: their
+    texts are joined by spaces in order, blank ones left out. A file that cannot be read
+    has an error.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,9 +173,11 @@ def transcribe(files: DataFrame, load_model: Callable[[], Model], rate: int = RA
                         loaded.append(None)
                         errors.append(str(e) or type(e).__name__)
                 texts = iter(model([x for x in loaded if x is not None], rate))
-                yield pd.DataFrame({"path": q["path"], "idx": q["idx"], "duration": [None if x is None else len(x) / rate for x in loaded], "text": [None if x is None else next(texts) for x in loaded], "error": errors})
+                own = [None if x is None else [y] if isinstance(y := next(texts), str) else list(y)[:n_best] for x in loaded]
+                yield pd.DataFrame({"path": q["path"], "idx": q["idx"], "duration": [None if x is None else len(x) / rate for x in loaded], "text": [None if x is None else (x or [""])[0] for x in own], "n_best": own, "error": errors})
 
     d = files if "idx" in files.columns else files.withColumn("idx", F.lit(0).cast("long"))
-    out = d.select("path", "idx", "content").mapInPandas(run, "path string, idx long, duration double, text string, error string")
+    out = d.select("path", "idx", "content").mapInPandas(run, "path string, idx long, duration double, text string, n_best array<string>, error string")
     texts = F.sort_array(F.collect_list(F.when(F.trim("text") != "", F.struct("idx", F.trim("text").alias("t")))))
-    return out.groupBy(F.col("path").alias("audio_filepath")).agg(F.round(F.sum("duration"), 3).alias("duration"), F.array_join(F.transform(texts, lambda t: t["t"]), " ").alias("pred_text"), F.max("error").alias("error"))
+    more = [F.transform(F.sort_array(F.collect_list(F.struct("idx", "n_best"))), lambda x: x["n_best"]).alias("n_best")] if n_best > 1 else []
+    return out.groupBy(F.col("path").alias("audio_filepath")).agg(F.round(F.sum("duration"), 3).alias("duration"), F.array_join(F.transform(texts, lambda t: t["t"]), " ").alias("pred_text"), F.max("error").alias("error"), *more)

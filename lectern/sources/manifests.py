@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,13 +16,17 @@ from lectern.operators.dedup import keep_first, keep_last
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(ord, line) of the lines that are not blank; gzip by suffix. ``ord`` is (file's place in the list, line)."""
+    """(ord, line) of the lines that are not blank; gzip by suffix.
+
+    ``ord`` is (place in the list of the path that a file is, or lies in; file; place in
+    the file). All paths are read at once.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    parts = [spark.read.text(p).select(F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line")).alias("ord"), F.col("value").alias("line")) for i, p in enumerate(paths)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(~is_blank(F.col("line")))
+    place = {re.sub("^file:/+", "/", p.rstrip("/")): i for i, p in reversed(list(enumerate(paths)))}
+    known = F.create_map(*[F.lit(x) for item in place.items() for x in item])
+    d = spark.read.text(paths).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    listed = F.coalesce(F.try_element_at(known, F.col("file")), F.try_element_at(known, F.regexp_extract("file", "^(.*)/[^/]*$", 1)), F.lit(len(paths)))
+    return d.select(F.struct(listed.alias("path"), "file", "block", "line").alias("ord"), F.col("value").alias("line")).where(~is_blank(F.col("line")))
 
 
 def _value(key: str) -> Column:

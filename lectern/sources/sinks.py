@@ -2,11 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean
 
+#: The columns a detailed report has, in order; those of no run are null.
+REPORT_COLUMNS = (
+    "learner_id", "audio_type", "audio_file", "CAN", "REF", "HYP",
+    "WER_can_ref", "ACC_can_ref", "S_can_ref", "D_can_ref", "I_can_ref", "C_can_ref", "N_can_ref",
+    "WER_can_hyp", "ACC_can_hyp", "S_can_hyp", "D_can_hyp", "I_can_hyp", "C_can_hyp", "N_can_hyp",
+    "WER_ref_hyp", "ACC_ref_hyp", "S_ref_hyp", "D_ref_hyp", "I_ref_hyp", "C_ref_hyp", "N_ref_hyp",
+    "EGRA_COR", "EGRA_ACC", "ASR_EGRA_COR", "ASR_EGRA_ACC", "MAE_EGRA_COR", "ASR_WER", "has_hyp",
+    "gender", "child_grade", "child_age", "region", "council", "ward",
+    "Kiswahili_lang1", "Kigogo_lang2", "Kirangi_lang3", "Kihaya_lang4", "Runyambo_lang5", "Kihangaza_lang6", "English_lang7",
+    "ACC_can_ref_norm_for_mae", "ACC_can_hyp_norm_for_mae", "MAE_EGRA_ACC", "Bias_Baseline_MAE",
+    "Mistakes_Precision", "Mistakes_Recall", "Mistakes_F1", "MER",
+    "S_TP", "S_FP", "S_FN", "D_TP", "D_FP", "D_FN", "I_TP", "I_FP", "I_FN",
+)
+
+
+def in_order(scored: DataFrame, known: tuple[str, ...] = REPORT_COLUMNS) -> DataFrame:
+    """The known columns that are there first, in their order, then the rest in theirs."""
+    return scored.select(*[c for c in known if c in scored.columns], *[c for c in scored.columns if c not in known])
+
+
+def with_all_columns(scored: DataFrame, known: tuple[str, ...] = REPORT_COLUMNS) -> DataFrame:
+    """Every known column, null where the rows have none, and then the rest."""
+    return in_order(scored.withColumns({c: F.lit(None).cast("double") for c in known if c not in scored.columns}), known)
+
+
+def stamped(folder: str, when: datetime | None = None) -> str:
+    """A folder for one run, named by its time."""
+    return f"{folder.rstrip('/')}/exp_{(when or datetime.now()).strftime('%Y_%m_%d_%H_%M_%S')}"
+
+
+def walkthrough_text(one: DataFrame) -> str:
+    """The row of :func:`~lectern.operators.summary.walkthrough` as text, a step a line."""
+    r = one.first()
+    if r is None:
+        return "No row of this type was found.\n"
+    out = [f"learner_id: {r.learner_id}", f"audio_file: {r.audio_file}"]
+    for name, steps, more in (("REF", r.can_to_ref, r.omitted_ref), ("HYP", r.can_to_hyp, r.omitted_hyp)):
+        out += ["", f"CAN to {name} (spoken | canonical | type)"]
+        out += [f"{i:4d}: {s.test} | {s.truth} | {s.tag}" for i, s in enumerate(steps, 1)]
+        out += [f"      {more} more"] * (more > 0)
+    return "\n".join([*out, "", f"CAN: {r.CAN}", f"REF: {r.REF}", f"HYP: {r.HYP}", ""])
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text of bounded length as one file, through Spark, wherever the path is."""
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 MANIFEST = ("audio_filepath", "duration", "pred_text", "ref_text", "can_text")
 
 
@@ -45,7 +95,7 @@ def write_detailed_v1(scored: DataFrame, path: str, names: dict[str, str] | None
     """Scored rows without repeats, under their reporting names."""
     from lectern.operators.dedup import distinct_scored
 
-    write_csv(distinct_scored(scored).withColumnsRenamed(names or REPORT_NAMES), path)
+    write_csv(with_all_columns(distinct_scored(scored)).withColumnsRenamed(names or REPORT_NAMES), path)
 
 
 #: Reporting names that differ from the columns'.

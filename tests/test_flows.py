@@ -69,11 +69,11 @@ def wav(path, seconds, rate=8000, channels=1):
 def data(tmp_path_factory):
     root = tmp_path_factory.mktemp("data")
     (root / "0_IAR" / "2_TextGrid" / "a_b_c").mkdir(parents=True)
-    (root / "Student_Full_Canonical_1.csv").write_text(
+    (root / "Student_Full_Canonical_EGRA_1.csv").write_text(
         'learner_id,audio_file,audio_type,canonical_text,textgrid\na_b_c,a_b_c-audio_passage_1.wav,passage_num1,"ga u ""la""\nx",a_b_c-audio_passage_1.TextGrid\n'
         "a_b_c,a_b_c-audio_iso_letter_2.wav,iso_letter_2,b m,none.TextGrid\nd_e_f,d_e_f-audio_missing.wav,iso_letter_2,k,\n", encoding="utf-8"
     )
-    (root / "Student_MetaData_1.csv").write_text("learner_id,gender,region,child_grade,child_age,extra\na_b_c,f,north,2,8,x\nz,m,south,3,nine,y\n")
+    (root / "Student_MetaData_EGRA_1.csv").write_text("learner_id,gender,region,child_grade,child_age,extra\na_b_c,f,north,2,8,x\nz,m,south,3,nine,y\n")
     (root / "passages.csv").write_bytes("num,text\n\n1,pass\xe9e un\nbad\n2,two,more\n".encode("cp1252"))
     (root / "0_IAR" / "2_TextGrid" / "a_b_c" / "a_b_c-audio_passage_1.TextGrid").write_text(GRID)
     wav(root / "0_Audio" / "a_b_c" / "a_b_c-audio_passage_1.wav", 3)
@@ -85,9 +85,9 @@ def data(tmp_path_factory):
 
 
 def test_csv_sources(spark, data):
-    items = tables.read_items(spark, str(data / "Student_Full_Canonical_1.csv")).collect()
+    items = tables.read_items(spark, str(data / "Student_Full_Canonical_EGRA_1.csv")).collect()
     assert len(items) == 3 and items[0].canonical_text == 'ga u "la"\nx'
-    learners = {r.learner_id: r for r in tables.read_learners(spark, str(data / "Student_MetaData_1.csv")).collect()}
+    learners = {r.learner_id: r for r in tables.read_learners(spark, str(data / "Student_MetaData_EGRA_1.csv")).collect()}
     assert learners["a_b_c"].child_age == 8 and learners["z"].child_age is None and learners["z"].extra == "y"
     assert [tuple(r) for r in tables.read_passages(spark, str(data / "passages.csv")).collect()] == [("num", "text"), ("1", "passée un"), ("2", "two")]
 
@@ -140,7 +140,7 @@ def test_audio(spark, data):
 
 def test_layout(spark, data, tmp_path):
     found = layout.find_layout(spark, str(data))
-    assert found.items_csv.endswith("Canonical_1.csv") and found.grids.endswith("0_IAR/2_TextGrid") and found.audio.endswith("0_Audio")
+    assert found.items_csv.endswith("Canonical_EGRA_1.csv") and found.grids.endswith("0_IAR/2_TextGrid") and found.audio.endswith("0_Audio")
     with pytest.raises(FileNotFoundError):
         layout.find_layout(spark, str(tmp_path))
     assert layout.table_location({"A_URL": "s3://x"}, "A") == "s3://x"
@@ -157,7 +157,7 @@ def test_build_and_score(spark, data, tmp_path):
     assert (one.duration, one.pred_text, one.ref_text, one.can_text) == (3.0, "ga u\ne", 'ga u la "e" ka', "passée un")
     assert rows["letter2.wav"].can_text == "ba ma" and rows["letter2.wav"].ref_text == ""
     sinks.write_cleaned(built, str(tmp_path / "clean"), drop_empty=False)
-    scored, categories = flows.score_manifest(spark, str(tmp_path / "clean"), str(data / "Student_MetaData_1.csv"))
+    scored, categories = flows.score_manifest(spark, str(tmp_path / "clean"), str(data / "Student_MetaData_EGRA_1.csv"))
     got = {r.audio_type: r for r in scored.collect()}
     assert got["passage_passage"].gender == "f" and got["passage_passage"].REF == "ga u la e ka" and got["passage_passage"].N_ref_hyp == 5
     assert (got["letters_isolated"].C_can_hyp, got["letters_isolated"].I_ref_hyp, got["letters_isolated"].N_ref_hyp) == (1, 1, 0)
@@ -210,7 +210,7 @@ def test_segments_in_both_profiles(spark, data):
     got = {r.audio_file: r for r in segments.merge_segments(df).collect()}
     assert set(got) == {"x.wav", "y.wav", "y2.wav"}
     assert (got["x.wav"].ref_text, got["x.wav"].hyp_text, got["x.wav"].canonical_text, got["x.wav"].ord) == ("two ten last", "h10", " ", 0)
-    v1 = {r.audio_file: r for r in score.with_advanced(score.score_rows_v1(df, tables.read_learners(spark, str(data / "Student_MetaData_1.csv")))).collect()}
+    v1 = {r.audio_file: r for r in score.with_advanced(score.score_rows_v1(df, tables.read_learners(spark, str(data / "Student_MetaData_EGRA_1.csv")))).collect()}
     first = v1["x.wav"]
     assert first.CAN_FG == "can" and first.REF_FG == "last two ten" and first.HYP_FG == "h10" and first.N_can_ref == 3 and v1["x_segment2.wav"].N_can_ref is None
     assert v1["y.wav"].EGRA_COR == 1 and v1["y.wav"].MAE_EGRA_COR == 0 and v1["y.wav"].MER == 0.0
@@ -239,3 +239,60 @@ def test_small_rates(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="C_can_ref"):
         summary.pair_summary(spark.createDataFrame([(1,)], "S_can_ref int"), "can_ref")
+
+
+def test_layout_at_any_depth(spark, tmp_path):
+    deep = tmp_path / "x" / "y"
+    hub = deep / "0IAR" / "z"
+    (hub / "2_TextGrid" / "ann").mkdir(parents=True)
+    (deep / "0_Audio").mkdir()
+    for p in (deep / "Student_Full_Canonical_EGRA2.csv", tmp_path / "x" / "a" / "Student_Full_Canonical_EGRA9.csv", tmp_path / "Student_MetaData_EGRA.csv", tmp_path / "Student_Full_Canonical_1.csv"):
+        p.parent.mkdir(exist_ok=True)
+        p.write_text("a\n")
+    got = layout.find_layout(spark, str(tmp_path), "ann")
+    assert got.items_csv == str(tmp_path / "x" / "a" / "Student_Full_Canonical_EGRA9.csv") and got.grids == str(hub / "2_TextGrid" / "ann")
+    assert got.audio == str(tmp_path / "0_Audio")  # not in the hub, so only a name
+    with pytest.raises(FileNotFoundError):
+        layout.find_layout(spark, str(tmp_path), "nobody")
+
+
+def test_manifests_keep_the_order_of_paths(spark, tmp_path):
+    for name, texts in (("b", "12"), ("a", "3")):
+        (tmp_path / name).mkdir()
+        for i, t in enumerate(texts):
+            (tmp_path / name / f"{i}.jsonl").write_text("".join(json.dumps({"audio_filepath": "s.wav", "pred_text": f"{t}{k}"}) + "\n" for k in range(3)))
+    paths = [str(tmp_path / "b"), str(tmp_path / "a" / "0.jsonl")]
+    rows = manifests.read_manifest(spark, paths).orderBy("ord").collect()
+    assert [r.hyp_text for r in rows] == ["10", "11", "12", "20", "21", "22", "30", "31", "32"]
+    assert [r.hyp_text for r in manifests.read_manifests(spark, paths).collect()] == ["32"] and [r.hyp_text for r in manifests.read_manifests(spark, paths[::-1]).collect()] == ["22"]
+
+
+def test_pieces_are_written_and_transcribed(spark, data, tmp_path):
+    files = audio.read_files(spark, str(data / "0_Audio"))
+    intervals = files.select(F.col("path").alias("wav"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), F.lit(a).alias("xmin"), F.lit(b).alias("xmax"), F.lit("x").alias("text")) for i, a, b in ((0, 0.0, 0.25), (1, 0.25, 0.4))])).alias("i")).select("wav", "i.*")
+    cuts = segments.cut(files.select(F.col("path").alias("wav"), F.lit(None).cast("long").alias("samples")), intervals, str(tmp_path / "cut"), 8000)
+    assert audio.write_pieces(audio.pieces(files, cuts, 8000)) == 4 == audio.write_pieces(audio.pieces(files, cuts, 8000))
+    assert sorted(r.duration for r in audio.durations(audio.read_files(spark, str(tmp_path / "cut"))).collect()) == [0.15, 0.15, 0.25, 0.25]
+    model = lambda: lambda batch, rate: [[str(len(b)), "?", "!"] for b in batch]
+    got = flows.transcribe_segments(files, intervals, model).collect()
+    assert [(r.pred_text, r.duration) for r in got] == [("2000 1200", 0.4)] * 2
+    best = audio.transcribe(audio.by_duration(files).select("path", "content"), model, n_best=2).collect()
+    assert all(len(r.n_best) == 1 and len(r.n_best[0]) == 2 for r in best)
+    assert audio.Decoding("rnnt").of(("ctc", "rnnt")) == "rnnt"
+    with pytest.raises(ValueError):
+        audio.Decoding("rnnt").of(("ctc",))
+
+
+def test_reports(spark, tmp_path):
+    from datetime import datetime
+
+    df = spark.createDataFrame([(1, "b", "c d", "c", "c x", "passage_num1", "a", 0)], "extra int, audio_file string, CAN string, REF string, HYP string, audio_type string, learner_id string, ord int")
+    out = sinks.with_all_columns(df)
+    assert out.columns[: len(sinks.REPORT_COLUMNS)] == list(sinks.REPORT_COLUMNS) and out.columns[-2:] == ["extra", "ord"] and out.first().WER_can_ref is None
+    assert sinks.in_order(df).columns == ["learner_id", "audio_type", "audio_file", "CAN", "REF", "HYP", "extra", "ord"]
+    assert sinks.stamped("/out/", datetime(2024, 1, 2, 3, 4, 5)) == "/out/exp_2024_01_02_03_04_05"
+    text = sinks.walkthrough_text(summary.walkthrough(df))
+    assert "   2: - | d | d" in text and "   2: x | d | s" in text
+    sinks.write_text(spark, text, str(tmp_path / "walk"))
+    assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "walk"), wholetext=False).collect()).count("CAN to") == 2
+    assert "No row" in sinks.walkthrough_text(summary.walkthrough(df.limit(0)))
