@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import batch, rates
-from lectern.functions.align import FINE, META, PLACED, error_counts, fine_counts, paired, placed_scores, scores
+from lectern.functions.align import FINE, META, PLACED, error_counts, fine_counts, paired, placed_counts, scores
 from lectern.functions.paths import category, macro_and_sub
 from lectern.functions.text import is_blank, normalize, normalize_ascii
 from lectern.operators.segments import group_texts
@@ -76,18 +76,28 @@ def score_rows_v1(items: DataFrame, metadata: DataFrame | None = None, order: st
     return d if metadata is None else d.join(metadata, "learner_id", "left")
 
 
-def fine_v1(can: Column, ref: Column, hyp: Column) -> Column:
-    """Struct of the meta-alignment's counts over texts normalised the older way."""
+def advanced_v1(can: Column, ref: Column, hyp: Column) -> Column:
+    """Struct of the meta-alignment's counts over texts normalised the older way, and of placed errors of the texts as they are.
+
+    Pairs of texts that normalising leaves alone are aligned once for both.
+    """
     fields = ["S", "D", "I", "C", "N", *[f"{k}_{x}" for k in FINE for x in ("tp", "fp", "fn")]]
 
-    def run(cans: pd.Series, refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        c, r, h = ([(x or "").split() for x in some] for some in (cans, refs, hyps))
-        true, pred = batch.tags(c, r), batch.tags(c, h)
-        out = [(m.count("s"), m.count("d"), m.count("i"), m.count("c"), len(t), *fine_counts(paired(t, p, m))) for t, p, m in zip(true, pred, batch.tags(true, pred), strict=True)]
-        return pd.DataFrame(out, columns=fields)
+    def run(cans: pd.Series, refs: pd.Series, hyps: pd.Series, c: pd.Series, r: pd.Series, h: pd.Series) -> pd.DataFrame:
+        plain, own = list(zip(cans, refs, hyps, strict=True)), list(zip(c, r, h, strict=True))
+        pairs = list(dict.fromkeys((x[0], y) for x in [*plain, *own] for y in x[1:]))
+        split = lambda x: (x or "").split()
+        tags = dict(zip(pairs, batch.tags([split(x) for x, _ in pairs], [split(y) for _, y in pairs]), strict=True))
+        true, pred = ([tags[x[0], x[k]] for x in plain] for k in (1, 2))
+        out = []
+        for t, p, m, x in zip(true, pred, batch.tags(true, pred), own, strict=True):
+            fine = m.count("s"), m.count("d"), m.count("i"), m.count("c"), len(t), *fine_counts(paired(t, p, m))
+            out.append((*fine, *placed_counts(*map(split, x), (tags[x[0], x[1]], tags[x[0], x[2]]))))
+        return pd.DataFrame(out, columns=[*fields, *PLACED])
 
-    kind = T.StructType([T.StructField(f, T.LongType()) for f in fields])
-    return F.pandas_udf(run, kind)(normalize_ascii(can), normalize_ascii(ref), normalize_ascii(hyp))
+    kind = T.StructType([T.StructField(f, T.LongType()) for f in [*fields, *PLACED]])
+    texts = can, ref, hyp
+    return F.pandas_udf(run, kind)(*map(normalize_ascii, texts), *texts)
 
 
 def with_advanced(scored: DataFrame) -> DataFrame:
@@ -104,8 +114,7 @@ def with_advanced(scored: DataFrame) -> DataFrame:
         {
             "MAE_EGRA_ACC": F.abs(F.col("ACC_can_ref_norm_for_mae") - F.col("ACC_can_hyp_norm_for_mae")),
             "Bias_Baseline_MAE": F.abs(F.col("ACC_can_ref") - mean.cast("double")),
-            "_f": fine_v1(F.col("CAN"), F.col("REF"), F.col("HYP")),
-            "_p": placed_scores(F.col("CAN"), F.col("REF"), F.col("HYP")),
+            "_f": advanced_v1(F.col("CAN"), F.col("REF"), F.col("HYP")),
         }
     )
     d = d.withColumn("MER", rates.ratio(F.col("_f.S") + F.col("_f.D") + F.col("_f.I"), F.col("_f.N")))
@@ -117,11 +126,11 @@ def with_advanced(scored: DataFrame) -> DataFrame:
     hit = [sum((F.col(f"_f.{k}_{x}") for k in ("ins", "del")), F.col(f"_f.sub_{x}")) for x in ("tp", "fp", "fn")]
     for m, v in zip(("Precision", "Recall", "F1"), rates.prf(*hit), strict=True):
         sums[f"Mistakes_{m}"] = v
-    d = d.withColumns(sums).withColumns({c: F.col(f"_p.{c}") for c in PLACED})
+    d = d.withColumns(sums).withColumns({c: F.col(f"_f.{c}") for c in PLACED})
     for k in "SDI":
         for m, v in zip(("Precision", "Recall", "F1"), rates.prf(*[F.col(f"{k}_{x}") for x in ("TP", "FP", "FN")], zero=False), strict=True):
             d = d.withColumn(f"phono_{k}_{m}", v)
-    return d.drop("_f", "_p")
+    return d.drop("_f")
 
 
 def with_categories(scored: DataFrame) -> DataFrame:
