@@ -28,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """Folder of this application under the shared checkpoint folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in
-    tests on one machine, a folder below the warehouse (which is shared too) is used.
-    It goes when the application ends.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a folder below
+    the warehouse is used; that is shared only if the warehouse is, so that on a cluster
+    a warehouse on a local disk is refused. The folder goes when the application ends.
     """
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.master.startswith("local"):
+        warehouse = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        if warehouse.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder; the warehouse {warehouse.toString()} may be on one machine")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{base.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
     if path not in _made:
@@ -192,15 +196,26 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
+#: Nodes of a forest that a task holds at a time.
+HELD = 500_000
+
+
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning forest of a partition's links as (node, smaller root); no larger than its input."""
+    """Spanning forests of a partition's links as (node, smaller root), a bounded one at a time; no larger than its input."""
+
+    def told(f: Forest) -> Iterator[pd.DataFrame]:
+        got = np.array(f.edges(), dtype=np.int64).reshape(-1, 2)
+        for i in range(0, len(got), 100_000):
+            yield pd.DataFrame({"node": got[i : i + 100_000, 0], "root": got[i : i + 100_000, 1]})
+
     f = Forest()
     for p in parts:
         for a, b in zip(p["node"].tolist(), p["root"].tolist(), strict=True):
             f.link(a, b)
-    got = np.array(f.edges(), dtype=np.int64).reshape(-1, 2)
-    for i in range(0, len(got), 100_000):
-        yield pd.DataFrame({"node": got[i : i + 100_000, 0], "root": got[i : i + 100_000, 1]})
+        if len(f.up) > HELD:
+            yield from told(f)
+            f = Forest()
+    yield from told(f)
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -89,8 +89,8 @@ def index_levels(codes: np.ndarray, fan: int = FAN) -> list[tuple[np.ndarray, np
     return out
 
 
-def search(codes: np.ndarray, limit: int, fan: int = FAN) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of codes (in Gray order) that differ in at most ``limit`` bits."""
+def search(codes: np.ndarray, limit: int, fan: int = FAN, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of codes (in Gray order) that differ in at most ``limit`` bits; ``looked`` takes how many nodes were compared."""
     levels = index_levels(codes, fan)
     top = len(levels[-1][0])
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -101,6 +101,8 @@ def search(codes: np.ndarray, limit: int, fan: int = FAN) -> tuple[np.ndarray, n
         apart = np.zeros(len(query), np.uint8)
         for k in range(len(levels) - 1, -1, -1):
             patterns, masks = levels[k]
+            if looked is not None:
+                looked.append(len(query))
             apart = apart + np.bitwise_count((codes[query] ^ patterns[node]) & masks[node] & ~seen)
             on = apart <= limit
             query, node, apart, seen = query[on], node[on], apart[on], masks[node[on]]
@@ -167,6 +169,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = rows.mapInPandas(_links(max_bits), "a long, b long")
     roots = connected_components(links, "a", "b")
     labelled = fps.join(roots, fps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    labelled = materialise(labelled, "simhash-labels")
+    remove(docs.sparkSession, fps.scratch_path)
     return own.join(labelled, "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )

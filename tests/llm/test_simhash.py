@@ -50,6 +50,27 @@ def test_search_finds_all_pairs():
             assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(want)
 
 
+def test_search_prunes_groups():
+    """Nodes compared grow far slower than pairs: whole groups fall away by what their members share."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (500, 2000, 8000):
+        codes = np.sort(rng.choice(1 << 16, n, replace=False).astype(np.int64))
+        looked = []
+        simhash.search((codes ^ codes >> 1).astype(np.uint16), 2, looked=looked)
+        shares.append(sum(looked) / (n * (n - 1) / 2))
+    assert shares[0] > 2 * shares[2] and shares[2] < 0.25, shares
+
+
+def test_forests_of_bounded_size(spark, monkeypatch):
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "HELD", 20)
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000 + i, 999 + i) for i in range(1, 100)], "a long, b long").repartition(3)
+    got = {r.node: r.root for r in connected_components(links, "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 100)}}
+
+
 def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(500)]
