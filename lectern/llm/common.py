@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -113,6 +116,7 @@ def _marked(column: str, bits: int):
     """A map in which the bits of a column's values are set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("map")
         own = np.zeros(bits, bool)
         for p in parts:
             own[p[column].to_numpy() & (bits - 1)] = True
@@ -151,6 +155,27 @@ def in_map(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+#: What operators keep in a worker between tasks, as functions that let go of it.
+kept: list[Callable[[], None]] = []
+_busy = [""]
+
+
+def turn_to(work: str) -> None:
+    """Say in a worker what it does next; at each change it gives back the memory of what it did before.
+
+    Workers serve one stage after another, and wait in between: without this each would
+    hold the most that any stage took.
+    """
+    if _busy[0] != work:
+        _busy[0] = work
+        for let_go in kept:
+            let_go()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def few(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts of an Arrow column, of which a few at a time are Python objects."""
     for at in range(0, len(texts), rows):
@@ -203,6 +228,8 @@ HELD = 500_000
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning forests of a partition's links as (node, smaller root), a bounded one at a time; no larger than its input."""
 
+    turn_to("forest")
+
     def told(f: Forest) -> Iterator[pd.DataFrame]:
         got = np.array(f.edges(), dtype=np.int64).reshape(-1, 2)
         for i in range(0, len(got), 100_000):

@@ -30,11 +30,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.common import kept, turn_to
+
 SEED = 42
 #: Share of candidate merges that are skipped.
 RATE = 0.1
 #: Nodes of the trees a worker remembers, parts it knows to have come once, and candidates of a part that trees branch on.
-NODES, ONCE, BRANCHES = 300_000, 400_000, 20
+NODES, ONCE, BRANCHES = 250_000, 300_000, 20
 #: Agendas that are worked off side by side.
 ROWS = 4096
 #: Parts and words up to this length are remembered.
@@ -562,7 +564,6 @@ class Vocabulary:
             self.forget()
         self.once.clear()
         self.tried.clear()
-        pa.default_memory_pool().release_unused()
 
     def spelled(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, the added space of a text first."""
@@ -575,10 +576,13 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """One for each worker."""
+    """One for each worker, as long as it encodes."""
     return Vocabulary(path)
 
 
+kept.append(vocabulary.cache_clear)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
 
@@ -607,6 +611,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     name = shipped(docs.sparkSession, model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("pieces encode")
         v = vocabulary(SparkFiles.get(name))
         for p in _some(parts):
             ids, ends = v.encode_all(p["text"].to_pylist(), p["key"].to_numpy(), seed, rate)
@@ -636,6 +641,7 @@ def checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     name = shipped(docs.sparkSession, model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("pieces checked")
         v = vocabulary(SparkFiles.get(name))
         for p in _some(parts):
             texts = p["text"].to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import boxed, few
+from lectern.llm.common import boxed, few, turn_to
 
 #: Bounds of the sample the model is fitted on: documents, and lines of each (spread over the whole document).
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 48
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scorer(model: Model):
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        turn_to("quality")
         return pa.array([score(t, model) for t in few(texts)], pa.float64())
 
     return scored

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import boxed, connected_components, few, materialise, remove, roots
+from lectern.llm.common import boxed, connected_components, few, materialise, remove, roots, turn_to
 
 SEED = 42
 WORDS = 3
@@ -55,6 +55,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
+    turn_to("fingerprints")
     return pa.array(np.array([fingerprint(t) for t in few(texts)], dtype=np.uint64).view(np.int64))
 
 
