@@ -4,10 +4,10 @@ Corners are found at several scales, half an octave apart, in queries a quarter;
 the contrast around it, and each part of an image gives its strongest, so that weak
 regions have some too. A corner is described by 128 comparisons of pixel pairs, turned
 with the corner's own orientation, so that brightness, contrast and rotation do not
-matter. Descriptors are joined through Hamming tables, each keyed by 24 of the 128 bits:
-near descriptors agree in all bits of some table. Matches of two images vote for the
-shift, turn and scale between them; enough corners that agree make a copy. Images are
-binary PGM or PPM in a binary column.
+matter. Blocks of queries are joined with tiles of all images; in each, descriptors meet
+through Hamming tables, each keyed by 24 of the 128 bits: near descriptors agree in all
+bits of some table. Matches of two images vote for the shift, turn and scale between them;
+enough corners that agree make a copy. Images are binary PGM or PPM in a binary column.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bit_map, in_map, materialise, remove
+from lectern.llm.common import materialise, remove, turn_to
 
 #: Levels of size, in quarter octaves: of all images, and of queries.
 SCALES, FINER = range(0, 9, 2), range(9)
@@ -32,10 +31,12 @@ PART, STRONGEST = 16, 2
 #: A corner's weaker gradient, squared, is this share of the mean one around it, and this much at least.
 SHARE, FLOOR = 0.15, 0.5
 #: Bits in which matching descriptors may differ, cell of a vote in pixels, and corners that must agree: so many, and one of so many of the query's.
-MAX_BITS, CELL, AGREEING, PORTION = 20, 8, 6, 16
+MAX_BITS, CELL, AGREEING, PORTION = 20, 8, 5, 16
 SIDE, SEED = 96, 42
 #: Corners that equal images count as having in common.
 EQUAL = 1 << 20
+#: Queries of a block, images of a tile, and images whose votes are counted at a time.
+BLOCK, TILE, SOME = 256, 1024, 32
 
 
 def _pattern() -> np.ndarray:
@@ -190,6 +191,7 @@ def _descriptors(parts: Iterator[pd.DataFrame], scales: range = SCALES) -> Itera
         for shape, some in by_shape.items():
             step = max(1, 600_000 // (shape[0] * shape[1]))
             for a in range(0, len(some), step):
+                turn_to("image corners")
                 d = describe(np.stack([x for _, x in some[a : a + step]]), scales)
                 c = np.zeros(len(d["image"]), CORNERS)
                 for f in CORNERS.names:
@@ -218,49 +220,87 @@ def table_keys(words: np.ndarray) -> np.ndarray:
     return (out ^ out >> np.uint64(29)).view(np.int64)
 
 
-ENTRY = "at long, key long, nth int, y float, x float, scale int, turn int, a long, b long"
-
-
-def _entries(known=None):
-    """A row for each corner and table, (if ``known``) of those whose key some query has."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            for start in range(0, len(p), 256):
-                some = p.slice(start, 256)
-                each = [np.frombuffer(c, CORNERS) for c in some["corners"].to_pylist()]
-                size = [len(c) for c in each]
-                c = np.concatenate([np.zeros(0, CORNERS), *each])
-                keys = table_keys(c["words"])
-                i, t = np.nonzero(np.ones(keys.shape, bool) if known is None else in_map(known.value, keys.ravel()).reshape(keys.shape))
-                key, nth = np.repeat(some["key"].to_numpy(), size)[i], (np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size))[i]
-                c = c[i]
-                columns = [keys[i, t], key, nth.astype(np.int32), c["y"], c["x"], c["scale"].astype(np.int32), c["turn"].astype(np.int32), c["words"][:, 0], c["words"][:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["at", "key", "nth", "y", "x", "scale", "turn", "a", "b"])
-
-    return run
-
-
-def agreeing(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query, key, corners) where enough matches agree on one shift, turn and scale.
-
-    Cells reach over two steps in shift, turn and scale, and begin at each, so that what
-    agrees is never divided; a query's corner votes once in a cell.
+def stacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All corners of some images, and the row each belongs to."""
+    each = [np.frombuffer(c, CORNERS) for c in blobs]
+    return np.concatenate([np.zeros(0, CORNERS), *each]), np.repeat(np.arange(len(each)), [len(c) for c in each])
+
+
+class Tables:
+    """Hamming tables over the corners of a block of queries."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.corners, self.query = stacked(blobs)
+        keys = table_keys(self.corners["words"])
+        self.order = [np.argsort(keys[:, t], kind="stable") for t in range(TABLES)]
+        self.keys = [keys[o, t] for t, o in enumerate(self.order)]
+        self.least = np.maximum(AGREEING, -(-np.bincount(self.query, minlength=len(blobs)) // PORTION))
+
+    def matches(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query corner, corner) pairs near each other, each once though it may be in several tables."""
+        keys, out = table_keys(corners["words"]), []
+        for t in range(TABLES):
+            low, high = np.searchsorted(self.keys[t], keys[:, t]), np.searchsorted(self.keys[t], keys[:, t], "right")
+            n = high - low
+            mine = np.repeat(np.arange(len(corners)), n)
+            theirs = self.order[t][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            on = np.bitwise_count(self.corners["words"][theirs] ^ corners["words"][mine]).sum(1) <= MAX_BITS
+            out.append(theirs[on] * len(corners) + mine[on])
+        both = np.unique(np.concatenate(out))
+        return both // max(1, len(corners)), both % max(1, len(corners))
+
+    def agreeing(self, corners: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, image, corners) where enough matches agree on one shift, turn and scale.
+
+        Counts reach over two steps in shift, turn and scale, and begin at each, so that
+        what agrees is never divided; a query's corner votes once in a step.
+        """
+        i, j = self.matches(corners)
+        q, c = self.corners[i], corners[j]
+        zoom = c["scale"].astype(np.int64) - q["scale"]
+        turn = (c["turn"].astype(np.int64) - q["turn"]) % TURNS
+        ratio, angle = 2.0 ** (zoom / 4), 2 * np.pi * turn / TURNS
+        ty = np.floor((c["y"] - ratio * (np.sin(angle) * q["x"] + np.cos(angle) * q["y"])) / CELL).astype(np.int64)
+        tx = np.floor((c["x"] - ratio * (np.cos(angle) * q["x"] - np.sin(angle) * q["y"])) / CELL).astype(np.int64)
+        width = int(image.max(initial=0)) + 1
+        votes = np.unique(np.stack([self.query[i] * width + image[j], zoom, turn, ty, tx, i], 1), axis=0)[:, :5]
+        cells, n = np.unique(votes, axis=0, return_counts=True)
+        shifts = [(0, z, r, a, b) for z in (0, 1) for r in (0, 1) for a in (0, 1) for b in (0, 1)]
+        windows = np.concatenate([cells + np.array(x) for x in shifts]) if len(cells) else cells
+        windows[:, 2] %= TURNS
+        windows, at = np.unique(windows, axis=0, return_inverse=True)
+        total = np.bincount(at.ravel(), np.tile(n, len(shifts)) if len(cells) else None, minlength=len(windows)).astype(np.int64)
+        pairs, at = np.unique(windows[:, 0], return_inverse=True)
+        most = np.zeros(len(pairs), np.int64)
+        np.maximum.at(most, at, total)
+        on = most >= self.least[pairs // width] if len(pairs) else np.zeros(0, bool)
+        return pairs[on] // width, pairs[on] % width, most[on]
+
+
+def _search(key: tuple, asked: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
+    """(query, key, corners) of a block of queries and a tile of images."""
+    turn_to("image search")
+    out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query", "key", "corners")})]
+    if len(asked) and len(images):
+        tables, names, keys = Tables(asked["corners"].tolist()), asked["key"].to_numpy(), images["key"].to_numpy()
+        for a in range(0, len(images), SOME):
+            q, k, n = tables.agreeing(*stacked(images["corners"].iloc[a : a + SOME].tolist()))
+            out.append(pd.DataFrame({"query": names[q], "key": keys[a + k], "corners": n}))
+    return pd.concat(out, ignore_index=True)
+
+
+def agreeing(asked: DataFrame, images: DataFrame) -> DataFrame:
+    """(query, key, corners) of (key, corners) queries and images, by blocks and tiles dealt by hash.
+
+    Queries are copied to each tile and images to each block: with a set share of the
+    rows as queries, this grows with the square of the table, as comparing them does.
     """
-    q = asked.select("at", *[F.col(c).alias(f"q_{c}") for c in ("key", "nth", "y", "x", "scale", "turn", "a", "b")])
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("q_a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("q_b")))
-    met = entries.join(q, "at").where(apart <= MAX_BITS).dropDuplicates(["q_key", "q_nth", "key", "nth"])
-    zoom, turn = F.col("scale") - F.col("q_scale"), F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
-    ratio, angle = F.pow(F.lit(2.0), zoom / 4), turn * (2 * np.pi / TURNS)
-    sin, cos, qy, qx = F.sin(angle), F.cos(angle), F.col("q_y").cast("double"), F.col("q_x").cast("double")
-    ty = F.floor((F.col("y") - ratio * (sin * qx + cos * qy)) / CELL)
-    tx = F.floor((F.col("x") - ratio * (cos * qx - sin * qy)) / CELL)
-    votes = met.select(F.col("q_key").alias("query"), "key", "q_nth", zoom.alias("zoom"), turn.alias("turn"), ty.alias("ty"), tx.alias("tx"))
-    every = F.array(*[F.struct((F.col("zoom") + z).alias("z"), F.pmod(F.col("turn") + r, F.lit(TURNS)).alias("r"), (F.col("ty") + a).alias("y"), (F.col("tx") + b).alias("x")) for z in (0, 1) for r in (0, 1) for a in (0, 1) for b in (0, 1)])
-    cells = votes.select("query", "key", "q_nth", F.explode(every).alias("cell")).distinct()
-    most = cells.groupBy("query", "key", "cell").agg(F.count("*").alias("n")).where(F.col("n") >= AGREEING).groupBy("query", "key").agg(F.max("n").alias("corners"))
-    of = asked.groupBy(F.col("key").alias("k")).agg((F.count_distinct("nth") / PORTION).alias("least"))
-    return most.join(of, F.col("query") == F.col("k")).where(F.col("corners") >= F.col("least")).select("query", "key", "corners")
+    blocks, tiles = (max(1, -(-d.count() // n)) for d, n in ((asked, BLOCK), (images, TILE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    q = asked.select("key", "corners", dealt(blocks).alias("block"), every(tiles).alias("tile"))
+    x = images.select("key", "corners", dealt(tiles).alias("tile"), every(blocks).alias("block"))
+    return q.groupBy("block", "tile").cogroup(x.groupBy("block", "tile")).applyInPandas(_search, "query long, key long, corners long")
 
 
 def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
@@ -273,10 +313,6 @@ def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image
     rows; null, empty and damaged images have no corners and find nothing. Rows with a
     null id are left out. Other columns are ignored. Equal images are found whether they
     have corners or not.
-
-    Corners of all images whose keys no query has are left out where they are read, by
-    a map of bounded size; the rest are joined by key, and votes are counted by pair of
-    images, both by what adaptive execution can split.
     """
     spark = images.sparkSession
     own = images.where(F.col(id_col).isNotNull() & F.col(image_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(image_col).alias("image"))
@@ -286,10 +322,9 @@ def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image
     firsts = materialise(classes.select(F.col("first").alias("key"), "hash"), "image-firsts")
     one = own.withColumn("hash", F.sha2("image", 256)).join(firsts, ["key", "hash"], "left_semi")
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(image_col).alias("image"))
-    of_queries = materialise(descriptors(asked, FINER).mapInArrow(_entries(), ENTRY), "image-queries")
-    known = spark.sparkContext.broadcast(bit_map(of_queries, "at", of_queries.count()))  # of bounded size
-    entries = materialise(descriptors(one).mapInArrow(_entries(known), ENTRY), "image-entries")
-    found = agreeing(of_queries, entries)
+    of_queries = materialise(descriptors(asked, FINER), "image-queries")
+    of_images = materialise(descriptors(one), "image-corners")
+    found = agreeing(of_queries, of_images)
     equal = asked.where(F.col("image").isNotNull() & (F.length("image") > 0)).select(F.col("key").alias("query"), F.sha2("image", 256).alias("hash")).join(classes, "hash").select("query", F.col("first").alias("key"), F.lit(EQUAL).cast("long").alias("corners"))
     found = materialise(found.unionByName(equal).groupBy("query", "key").agg(F.max("corners").alias("corners")), "image-found")
     sizes = classes.groupBy(F.col("first").alias("key")).agg(F.sum("members").alias("members"))
@@ -297,7 +332,7 @@ def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image
     answers = found.join(sizes, "key").groupBy("query").agg(F.sum("members").alias("n_copies"), best.alias("best"), F.sort_array(F.collect_list("key")).alias("classes"))
     a = asked.select(F.col("key").alias("q")).join(answers, F.col("q") == F.col("query"), "left")
     out = materialise(a.select(F.col("q").alias("query"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "best", F.coalesce("classes", F.array().cast("array<long>")).alias("classes")), "image-copies")
-    for done in (hashes, classes, firsts, of_queries, entries, found):
+    for done in (hashes, classes, firsts, of_queries, of_images, found):
         remove(spark, done.scratch_path)
     return out
 
