@@ -61,6 +61,7 @@ lines AS (SELECT conv_id, turn, role, unnest(range(len(string_split(text, chr(10
 words AS (SELECT conv_id, turn, role, pos, list_filter(string_split({sql_normalize("line")}, ' '), lambda x: x <> '') AS can FROM lines),
 readings AS (SELECT 'L' || conv_id AS learner_id, 'L' || conv_id || '-audio_' || turn || '_' || pos || '.wav' AS audio_file,
   CASE role WHEN 'user' THEN 'passage_passage' WHEN 'assistant' THEN 'syllables_grid' WHEN 'system' THEN 'letters_isolated' END AS category,
+  CASE role WHEN 'user' THEN 'passage_num1' WHEN 'assistant' THEN 'syllables_grid_1' WHEN 'system' THEN 'iso_letter_1' ELSE 'unknown' END AS kind, conv_id * 1000000 + turn * 10000 + pos AS ord,
   can, {_sql_edited(*REF_EDITS)} AS ref, {_sql_edited(*HYP_EDITS)} AS hyp FROM words)"""
 
 

@@ -328,26 +328,38 @@ def wer_by_category(spark, sf_dir):
     return summary.error_rates(score.error_rows(standins.readings(spark, sf_dir)), prefixes=("ref_hyp",))
 
 
-_PAIRS = (("ref", "hyp"), ("can", "ref"), ("can", "hyp"))
+def _sql_counts(edits: str, letters: str, suffix: str) -> list[str]:
+    return [f"CAST({_COUNT(edits, k.lower())} AS BIGINT) AS {k}_{suffix}" for k in letters]
+
+
+def _sql_fine() -> list[tuple[str, str]]:
+    """(column, SQL) of hits, false and missed mistakes by kind, from the steps z of aligned tags p and t."""
+    out = []
+    for k, name in (("s", "sub"), ("i", "ins"), ("d", "del")):
+        tp = f"len(list_filter(z, lambda x: x.p = '{k}' AND x.t = '{k}'))"
+        out += [(f"{name}_tp", tp), (f"{name}_fp", f"({_COUNT('p', k)} - {tp})"), (f"{name}_fn", f"({_COUNT('t', k)} - {tp})")]
+    return out
+
+
+_SQL_STEPS = "list_transform(range(1, len(m) + 1), lambda k: {'p': CASE WHEN m[k] = 'd' THEN '-' ELSE p[len(replace(m[:k], 'd', ''))] END, 't': CASE WHEN m[k] = 'i' THEN '-' ELSE t[len(replace(m[:k], 'i', ''))] END})"
+
+
+def _sql_unit(pairs: tuple[tuple[str, str, str], ...], source: str) -> str:
+    """CTEs u and e: the edits of each (name, truth, test) pair of word lists as columns of e."""
+    middles = ", ".join(f"{x} AS {n}_{c}" for n, a, b in pairs for c, x in zip("xy", sql_middles(a, b)))
+    edits = ", ".join(f"CASE WHEN len({a}) = 0 THEN repeat('i', len({b})) ELSE {sql_edits(f'{n}_x', f'{n}_y')} END AS {n}" for n, a, b in pairs)
+    return f"u AS (SELECT *, {middles} FROM {source}), e AS (SELECT *, {edits} FROM u)"
 
 
 def _sql_score_rows() -> str:
     """Whole texts as the readings have them, unit-cost counts, tags, and what the alignment of the two tag sequences says."""
-    counts = lambda c, names, suffix: ", ".join(f"CAST({_COUNT(c, k.lower())} AS BIGINT) AS {k}_{suffix}" for k in names)
-    both = "len(list_filter(z, lambda x: x.p = '{0}' AND x.t = '{0}'))"
-    fine = []
-    for k, name in (("s", "sub"), ("i", "ins"), ("d", "del")):
-        tp = both.format(k)
-        fine += [f"CAST({tp} AS BIGINT) AS {name}_tp", f"CAST({_COUNT('p', k)} - {tp} AS BIGINT) AS {name}_fp", f"CAST({_COUNT('t', k)} - {tp} AS BIGINT) AS {name}_fn"]
+    right = lambda n, c: f"CAST(len({n}) - ({_COUNT(c, 's')}) - ({_COUNT(c, 'd')}) AS BIGINT)"
     return f"""WITH {SQL_READINGS}, t AS (SELECT *, {sql_tags('can', 'ref')} AS t, {sql_tags('can', 'hyp')} AS p FROM readings WHERE category IS NOT NULL),
-u AS (SELECT *, {', '.join(f"{x} AS {a}_{b}_{n}" for a, b in _PAIRS for n, x in zip('xy', sql_middles(a, b)))} FROM t),
-e AS (SELECT *, {', '.join(f"CASE WHEN len({a}) = 0 THEN repeat('i', len({b})) ELSE {sql_edits(f'{a}_{b}_x', f'{a}_{b}_y')} END AS {n}" for n, (a, b) in zip(('rh', 'cr', 'ch'), _PAIRS))}, string_split_regex(t, '') AS t_list, string_split_regex(p, '') AS p_list FROM u),
-m AS (SELECT *, {sql_tags('t_list', 'p_list')} AS m FROM e),
-z AS (SELECT *, list_transform(range(1, len(m) + 1), lambda k: {{'p': CASE WHEN m[k] = 'd' THEN '-' ELSE p[len(replace(m[:k], 'd', ''))] END, 't': CASE WHEN m[k] = 'i' THEN '-' ELSE t[len(replace(m[:k], 'i', ''))] END}}) AS z FROM m)
+{_sql_unit((('rh', 'ref', 'hyp'), ('cr', 'can', 'ref'), ('ch', 'can', 'hyp')), 't')},
+l AS (SELECT *, string_split_regex(t, '') AS t_list, string_split_regex(p, '') AS p_list FROM e), m AS (SELECT *, {sql_tags('t_list', 'p_list')} AS m FROM l), z AS (SELECT *, {_SQL_STEPS} AS z FROM m)
 SELECT learner_id, audio_file, category AS audio_type, array_to_string(can, ' ') AS CAN, array_to_string(ref, ' ') AS REF, array_to_string(hyp, ' ') AS HYP,
-  {counts('rh', 'SDI', 'ref_hyp')}, CAST(len(ref) - ({_COUNT('rh', 's')}) - ({_COUNT('rh', 'd')}) AS BIGINT) AS C_ref_hyp, CAST(len(ref) AS BIGINT) AS N_ref_hyp,
-  CAST(len(can) - ({_COUNT('cr', 's')}) - ({_COUNT('cr', 'd')}) AS BIGINT) AS C_can_ref, CAST(len(can) - ({_COUNT('ch', 's')}) - ({_COUNT('ch', 'd')}) AS BIGINT) AS C_can_hyp,
-  {counts('m', 'SDIC', 'mer')}, CAST(len(t) AS BIGINT) AS N_mer, {', '.join(fine)}, t AS tags_can_ref, p AS tags_can_hyp, m AS tags_mer FROM z"""
+  {', '.join(_sql_counts('rh', 'SDI', 'ref_hyp'))}, {right('ref', 'rh')} AS C_ref_hyp, CAST(len(ref) AS BIGINT) AS N_ref_hyp, {right('can', 'cr')} AS C_can_ref, {right('can', 'ch')} AS C_can_hyp,
+  {', '.join(_sql_counts('m', 'SDIC', 'mer'))}, CAST(len(t) AS BIGINT) AS N_mer, {', '.join(f'CAST({e} AS BIGINT) AS {c}' for c, e in _sql_fine())}, t AS tags_can_ref, p AS tags_can_hyp, m AS tags_mer FROM z"""
 
 
 SQL["score_rows"] = _sql_score_rows()
@@ -363,17 +375,26 @@ def score_rows_v1(spark, sf_dir):
     return score.with_advanced(score.score_rows_v1(standins.readings(spark, sf_dir)))
 
 
-def _sql_placed_errors() -> str:
-    """Errors at their places, from the tags; those without a canonical text have none."""
-    at = "CASE WHEN len(can) = 0 THEN [] ELSE list_transform(list_filter(range(1, len({0}) + 1), lambda k: {0}[k] <> 'c'), lambda k: {0}[k] || CASE WHEN {0}[k] = 'i' THEN k - 1 - ({1}) ELSE k - 1 - ({2}) END) END"
-    place = lambda c: at.format(c, f"len({c}[:k - 1]) - len(replace({c}[:k - 1], 'd', ''))", f"len({c}[:k - 1]) - len(replace({c}[:k - 1], 'i', ''))")
+def _sql_places(tags: str) -> str:
+    """The errors of a tag sequence at their places; none without a canonical text."""
+    upto = f"{tags}[:k - 1]"
+    before = lambda x: f"k - 1 - (len({upto}) - len(replace({upto}, '{x}', '')))"
+    return f"CASE WHEN len(can) = 0 THEN [] ELSE list_transform(list_filter(range(1, len({tags}) + 1), lambda k: {tags}[k] <> 'c'), lambda k: {tags}[k] || CASE WHEN {tags}[k] = 'i' THEN {before('d')} ELSE {before('i')} END) END"
+
+
+def _sql_placed_counts() -> list[tuple[str, str]]:
+    """(column, SQL) of hits, false and missed errors by kind, from those of REF in a and of HYP in b."""
     out = []
     for k in "SDI":
-        own = lambda c, k=k: f"list_distinct(list_filter({c}, lambda x: x[1] = '{k.lower()}'))"
-        tp = f"len(list_intersect({own('a')}, {own('b')}))"
-        out += [f"CAST({tp} AS BIGINT) AS {k}_TP", f"CAST(len({own('b')}) - {tp} AS BIGINT) AS {k}_FP", f"CAST(len({own('a')}) - {tp} AS BIGINT) AS {k}_FN"]
+        a, b = (f"list_distinct(list_filter({c}, lambda x: x[1] = '{k.lower()}'))" for c in "ab")
+        tp = f"len(list_intersect({a}, {b}))"
+        out += [(f"{k}_TP", f"CAST({tp} AS BIGINT)"), (f"{k}_FP", f"CAST(len({b}) - {tp} AS BIGINT)"), (f"{k}_FN", f"CAST(len({a}) - {tp} AS BIGINT)")]
+    return out
+
+
+def _sql_placed_errors() -> str:
     return f"""WITH {SQL_READINGS}, t AS (SELECT *, {sql_tags('can', 'ref')} AS t, {sql_tags('can', 'hyp')} AS p FROM readings),
-e AS (SELECT audio_file, {place('t')} AS a, {place('p')} AS b FROM t) SELECT audio_file, CAST(len(a) AS INT) AS n_errors, {', '.join(out)} FROM e"""
+e AS (SELECT audio_file, {_sql_places('t')} AS a, {_sql_places('p')} AS b FROM t) SELECT audio_file, CAST(len(a) AS INT) AS n_errors, {', '.join(f'{x} AS {c}' for c, x in _sql_placed_counts())} FROM e"""
 
 
 SQL["placed_errors"] = _sql_placed_errors()
@@ -385,6 +406,49 @@ def placed_errors(spark, sf_dir):
     return d.select("audio_file", errors_at(F.col("canonical_text"), F.col("ref_text")).alias("e"), placed_scores(F.col("canonical_text"), F.col("ref_text"), F.col("hyp_text")).alias("p")).select("audio_file", F.size("e").alias("n_errors"), "p.*")
 
 
+def _sql_score_rows_v1() -> str:
+    """Each reading is a recording of one segment; REF is the truth for CAN, and texts go by two normalisers."""
+    words = lambda c: rf"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(array_to_string({c}, ' ')), '[!-/:-@\[-`{{-~]', ' ', 'g'), '[\s\x0B\p{{Z}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    text = lambda c: f"array_to_string({c}, ' ')"
+    per = lambda x, y: f"({x}) / CAST(nullif({y}, 0) AS DOUBLE)"
+
+    def prf(tp: str, fp: str, fn: str, names: tuple[str, str, str], zero: bool) -> list[str]:
+        fill = (lambda x: f"coalesce({x}, 0.0)") if zero else (lambda x: f"({x})")
+        p, r = fill(per(tp, f"{tp} + {fp}")), fill(per(tp, f"{tp} + {fn}"))
+        return [f"{p} AS {names[0]}", f"{r} AS {names[1]}", f"{fill(f'2 * {p} * {r} / nullif({p} + {r}, 0)')} AS {names[2]}"]
+
+    counts = []
+    for pair, n, c in (("can_ref", "ref", "cr"), ("can_hyp", "can", "ch"), ("ref_hyp", "ref", "rh")):
+        counts += [*_sql_counts(c, "SDI", pair), f"CAST(len({n}) AS BIGINT) AS N_{pair}", f"CAST(len({n}) - ({_COUNT(c, 's')}) - ({_COUNT(c, 'd')}) AS BIGINT) AS C_{pair}"]
+    fine = dict(_sql_fine())
+    kinds = []
+    for k, name in (("sub", "S"), ("ins", "I"), ("del", "D")):
+        kinds += prf(*[f"{k}_{x}" for x in ("tp", "fp", "fn")], tuple(f"fine_{name}_{m}" for m in ("Precision", "Recall", "F1")), True)
+    kinds += prf(*[f"(sub_{x} + ins_{x} + del_{x})" for x in ("tp", "fp", "fn")], ("Mistakes_Precision", "Mistakes_Recall", "Mistakes_F1"), True)
+    for k in "SDI":
+        kinds += prf(*[f"{k}_{x}" for x in ("TP", "FP", "FN")], tuple(f"phono_{k}_{m}" for m in ("Precision", "Recall", "F1")), False)
+    rates_ = []
+    for pair in ("can_ref", "can_hyp", "ref_hyp"):
+        rates_ += [f"CASE WHEN N_{pair} = 0 AND I_{pair} > 0 THEN CAST('inf' AS DOUBLE) ELSE {per(f'100.0 * (S_{pair} + D_{pair} + I_{pair})', f'N_{pair}')} END AS WER_{pair}", f"{per(f'C_{pair}', f'N_{pair}')} * 100.0 AS ACC_{pair}"]
+    placed = dict(_sql_placed_counts())
+    return f"""WITH {SQL_READINGS}, w AS (SELECT *, {', '.join(f'{words(c)} AS {c}_w' for c in ('can', 'ref', 'hyp'))} FROM readings),
+g AS (SELECT *, {sql_tags('can_w', 'ref_w')} AS t, {sql_tags('can_w', 'hyp_w')} AS p, {sql_tags('can', 'ref')} AS t_raw, {sql_tags('can', 'hyp')} AS p_raw FROM w),
+{_sql_unit((('rh', 'ref', 'hyp'), ('cr', 'ref', 'can'), ('ch', 'can', 'hyp')), 'g')},
+l AS (SELECT *, string_split_regex(t, '') AS t_list, string_split_regex(p, '') AS p_list, {_sql_places('t_raw')} AS a, {_sql_places('p_raw')} AS b FROM e),
+m AS (SELECT *, {sql_tags('t_list', 'p_list')} AS m FROM l), z AS (SELECT *, {_SQL_STEPS} AS z FROM m),
+c AS (SELECT learner_id, audio_file, kind AS audio_type, ord, {text('can')} AS CAN, {text('ref')} AS REF, {text('hyp')} AS HYP, len(hyp) > 0 AS has_hyp, {', '.join(counts)},
+  {', '.join(f'{x} AS {k}' for k, x in fine.items())}, {', '.join(f'{x} AS {k}' for k, x in placed.items())}, {per('len(m) - (' + _COUNT('m', 'c') + ')', 'len(t)')} AS MER FROM z),
+r AS (SELECT *, {', '.join(rates_)} FROM c)
+SELECT learner_id, audio_file, audio_type, CAN AS canonical_text, REF AS ref_text, HYP AS hyp_text, ord, CAN AS CAN_FG, REF AS REF_FG, HYP AS HYP_FG, CAN, REF, HYP, has_hyp,
+  {', '.join(f'{x}_{pair}' for pair in ('can_ref', 'can_hyp', 'ref_hyp') for x in ('WER', 'ACC', 'S', 'D', 'I', 'N', 'C'))},
+  C_can_ref AS EGRA_COR, ACC_can_ref AS EGRA_ACC, C_can_hyp AS ASR_EGRA_COR, ACC_can_hyp AS ASR_EGRA_ACC, abs(C_can_ref - C_can_hyp) AS MAE_EGRA_COR, WER_ref_hyp AS ASR_WER,
+  ACC_can_ref / 100.0 AS ACC_can_ref_norm_for_mae, ACC_can_hyp / 100.0 AS ACC_can_hyp_norm_for_mae, abs(ACC_can_ref / 100.0 - ACC_can_hyp / 100.0) AS MAE_EGRA_ACC, abs(ACC_can_ref - (SELECT avg(ACC_can_ref) FROM r)) AS Bias_Baseline_MAE,
+  MER, {', '.join(placed)}, {', '.join(kinds)} FROM r"""
+
+
+SQL["score_rows_v1"] = _sql_score_rows_v1()
+
+
 # -- aggregates of scored rows
 
 _R = lambda p: f"100.0 * (sum(S_{p}) + sum(D_{p}) + sum(I_{p})) / nullif(sum(N_{p}), 0)"
