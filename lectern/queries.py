@@ -637,8 +637,13 @@ def valid_texts(spark, sf_dir):
 
 
 def _scratch(spark, what):
+    """A folder for one table in shared storage; it goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lectern-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lectern-{what}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{path.toString()}/rows"
 
 
 @query("SELECT 'c' || conv_id || '_' || turn || '.wav' AS audio_name, coalesce(text, '') AS hyp_text, coalesce(role, '') AS can_text FROM conversations")
