@@ -35,8 +35,8 @@ MAX_BITS, CELL, AGREEING, PORTION = 20, 8, 5, 16
 SIDE, SEED = 96, 42
 #: Corners that equal images count as having in common.
 EQUAL = 1 << 20
-#: Queries of a block, images of a tile, and images whose votes are counted at a time.
-BLOCK, TILE, SOME = 256, 1024, 32
+#: Queries of a block, images of a tile, images whose votes are counted at a time, and candidates that are held for that.
+BLOCK, TILE, SOME, HELD = 256, 1024, 4, 1 << 18
 
 
 def _pattern() -> np.ndarray:
@@ -242,11 +242,17 @@ class Tables:
         for t in range(TABLES):
             low, high = np.searchsorted(self.keys[t], keys[:, t]), np.searchsorted(self.keys[t], keys[:, t], "right")
             n = high - low
-            mine = np.repeat(np.arange(len(corners)), n)
-            theirs = self.order[t][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            on = np.bitwise_count(self.corners["words"][theirs] ^ corners["words"][mine]).sum(1) <= MAX_BITS
-            out.append(theirs[on] * len(corners) + mine[on])
-        both = np.unique(np.concatenate(out))
+            upto = np.cumsum(n)
+            start = 0
+            while start < len(n):  # so many candidates at a time
+                end = max(start + 1, int(np.searchsorted(upto, HELD + (upto[start - 1] if start else 0), "right")))
+                m = n[start:end]
+                mine = np.repeat(np.arange(start, end), m)
+                theirs = self.order[t][np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[start:end], m)]
+                on = np.bitwise_count(self.corners["words"][theirs] ^ corners["words"][mine]).sum(1) <= MAX_BITS
+                out.append(theirs[on] * len(corners) + mine[on])
+                start = end
+        both = np.unique(np.concatenate([np.zeros(0, np.int64), *out]))
         return both // max(1, len(corners)), both % max(1, len(corners))
 
     def agreeing(self, corners: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
