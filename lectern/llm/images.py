@@ -37,6 +37,8 @@ SIDE, SEED = 96, 42
 EQUAL = 1 << 20
 #: Queries of a block, images of a tile, images whose votes are counted at a time, and candidates that are held for that.
 BLOCK, TILE, SOME, HELD = 256, 1024, 4, 1 << 18
+#: Bits of the hash by which votes are counted first.
+SLOT_BITS = 20
 
 
 def _pattern() -> np.ndarray:
@@ -226,6 +228,25 @@ def stacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, CORNERS), *each]), np.repeat(np.arange(len(each)), [len(c) for c in each])
 
 
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows in order, which of them each row is, how often each comes) of whole numbers, sorted by column rather than as bytes."""
+    order = np.lexsort(rows.T[::-1])
+    sorted_ = rows[order]
+    new = np.concatenate(([True], (sorted_[1:] != sorted_[:-1]).any(1))) if len(rows) else np.zeros(0, bool)
+    at = np.empty(len(rows), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return sorted_[new], at, np.bincount(at, minlength=int(new.sum()))
+
+
+def _slot(*columns: np.ndarray) -> np.ndarray:
+    """A hash of SLOT_BITS bits."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class Tables:
     """Hamming tables over the corners of a block of queries."""
 
@@ -262,20 +283,35 @@ class Tables:
         what agrees is never divided; a query's corner votes once in a step.
         """
         i, j = self.matches(corners)
+        width = int(image.max(initial=0)) + 1
+        zoom = corners["scale"][j].astype(np.int64) - self.corners["scale"][i]
+        turn = (corners["turn"][j].astype(np.int64) - self.corners["turn"][i]) % TURNS
+        # no window holds more votes than its scales and turns have matches, wherever these lie
+        pair, at = np.unique(self.query[i] * width + image[j], return_inverse=True)
+        low, steps = (int(zoom.min()), int(np.ptp(zoom)) + 2) if len(zoom) else (0, 2)
+        met = np.bincount((at * steps + zoom - low) * TURNS + turn, minlength=len(pair) * steps * TURNS).reshape(len(pair), steps, TURNS)
+        met[:, 1:] += met[:, :-1].copy()
+        met += np.roll(met, 1, 2)
+        enough = met >= self.least[pair // width][:, None, None]
+        enough |= np.roll(enough, -1, 2)
+        enough[:, :-1] |= enough[:, 1:].copy()
+        on = enough[at, zoom - low, turn]
+        i, j, zoom, turn, pair = i[on], j[on], zoom[on], turn[on], pair[at[on]]
         q, c = self.corners[i], corners[j]
-        zoom = c["scale"].astype(np.int64) - q["scale"]
-        turn = (c["turn"].astype(np.int64) - q["turn"]) % TURNS
         ratio, angle = 2.0 ** (zoom / 4), 2 * np.pi * turn / TURNS
         ty = np.floor((c["y"] - ratio * (np.sin(angle) * q["x"] + np.cos(angle) * q["y"])) / CELL).astype(np.int64)
         tx = np.floor((c["x"] - ratio * (np.cos(angle) * q["x"] - np.sin(angle) * q["y"])) / CELL).astype(np.int64)
-        width = int(image.max(initial=0)) + 1
-        votes = np.unique(np.stack([self.query[i] * width + image[j], zoom, turn, ty, tx, i], 1), axis=0)[:, :5]
-        cells, n = np.unique(votes, axis=0, return_counts=True)
         shifts = [(0, z, r, a, b) for z in (0, 1) for r in (0, 1) for a in (0, 1) for b in (0, 1)]
+        # windows by hash, of which some fall together: those of too few votes for sure go before they are sorted
+        own = np.stack([pair, zoom, turn, ty, tx])
+        slots = np.stack([_slot(own[0], own[1] + z, (own[2] + r) % TURNS, own[3] + a, own[4] + b) for _, z, r, a, b in shifts])
+        on = (np.bincount(slots.ravel(), minlength=1 << SLOT_BITS)[slots] >= self.least[pair // width]).any(0)
+        votes = distinct(np.stack([*own, i], 1)[on])[0][:, :5]
+        cells, _, n = distinct(votes)
         windows = np.concatenate([cells + np.array(x) for x in shifts]) if len(cells) else cells
         windows[:, 2] %= TURNS
-        windows, at = np.unique(windows, axis=0, return_inverse=True)
-        total = np.bincount(at.ravel(), np.tile(n, len(shifts)) if len(cells) else None, minlength=len(windows)).astype(np.int64)
+        windows, at, _ = distinct(windows)
+        total = np.bincount(at, np.tile(n, len(shifts)) if len(cells) else None, minlength=len(windows)).astype(np.int64)
         pairs, at = np.unique(windows[:, 0], return_inverse=True)
         most = np.zeros(len(pairs), np.int64)
         np.maximum.at(most, at, total)

@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from lectern.llm import images
@@ -114,3 +117,27 @@ def test_rendered(spark, rows):
     assert set(got) == ({0, 100, 200, 300} if rows else set())
     if rows:
         assert (got[0].best, got[0].n_copies, got[100].classes, got[200].n_copies, got[300].best) == (0, 2, [100], 0, None)
+
+
+def test_votes_that_cannot_reach_are_not_sorted(monkeypatch):
+    x = textures(24, 4).astype(float)
+    blob = lambda y, scales: next(images._descriptors(iter([pd.DataFrame({"key": [0], "image": [images.encode(y.round())]})]), scales))["corners"][0]
+    asked = [blob(y[8:88, 12:92] * 0.8 + 10, images.FINER) for y in x[:12]]
+    tables, (corners, image) = images.Tables(asked), images.stacked([blob(y, images.SCALES) for y in x])
+    sorted_rows = []
+    distinct = images.distinct
+    monkeypatch.setattr(images, "distinct", lambda rows: sorted_rows.append(len(rows)) or distinct(rows))
+    got = {(int(q), int(k)): int(n) for q, k, n in zip(*tables.agreeing(corners, image), strict=True)}
+    # all votes of all matches, window by window
+    votes: dict = {}
+    for a, b in zip(*tables.matches(corners), strict=True):
+        q, c = tables.corners[a], corners[b]
+        zoom, turn = int(c["scale"]) - int(q["scale"]), (int(c["turn"]) - int(q["turn"])) % images.TURNS
+        ratio, angle = 2.0 ** (zoom / 4), 2 * np.pi * turn / images.TURNS
+        ty = int(np.floor((c["y"] - ratio * (np.sin(angle) * q["x"] + np.cos(angle) * q["y"])) / images.CELL))
+        tx = int(np.floor((c["x"] - ratio * (np.cos(angle) * q["x"] - np.sin(angle) * q["y"])) / images.CELL))
+        for z, r, u, v in itertools.product((0, 1), repeat=4):
+            votes.setdefault((int(tables.query[a]), int(image[b])), {}).setdefault((zoom + z, (turn + r) % images.TURNS, ty + u, tx + v), set()).add((int(a), zoom, turn, ty, tx))
+    most = {pair: max(map(len, windows.values())) for pair, windows in votes.items()}
+    assert got == {pair: n for pair, n in most.items() if n >= tables.least[pair[0]]} and len(got) >= 11
+    assert max(sorted_rows) < sum(map(len, votes.values())) / 10
