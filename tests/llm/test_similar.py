@@ -73,3 +73,26 @@ def test_ids_that_repeat(spark):
     docs = spark.createDataFrame([(1, w), (2, w), (2, "quite another text of its own"), (3, "quite another text of its own")], "doc_id long, text string")
     got = {tuple(r) for r in similar.similar_components(docs).collect()}
     assert got == {(1, 1), (2, 1), (2, 2), (3, 2)}
+
+
+def test_simhash_groups(spark):
+    """Fingerprints within two bits are grouped by the index, as comparing all of them does; the stage takes its candidates from there."""
+    rng = random.Random(12)
+    draw = lambda n: [f"w{rng.randrange(10**4)}" for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        w = draw(300)
+        rows += [" ".join(w), " ".join([*w, "end"]), " ".join(["begin", *w])]
+    sets = [similar.shingles(t) for t in rows]
+    fps = [similar.fingerprint(s) for s in sets]
+    for s, f in zip(sets[:9], fps, strict=False):
+        assert f == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    got = {r.fp: r.simhash for r in similar.simhash_groups(spark.createDataFrame([(k, signed(f)) for k, f in enumerate(fps)], "name long, fp long")).collect()}
+    up = list(range(len(fps)))
+    for _ in up:
+        new = [min(up[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(fps))]
+        if new == up:
+            break
+        up = new
+    assert [got[signed(f)] for f in fps] == up and len(set(up)) < len(fps) - 60
