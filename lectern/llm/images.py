@@ -37,6 +37,8 @@ SIDE, SEED = 96, 42
 EQUAL = 1 << 20
 #: Queries of a block, images of a tile, images whose votes are counted at a time, and candidates that are held for that.
 BLOCK, TILE, SOME, HELD = 256, 1024, 4, 1 << 18
+#: Pairs of corners of which a map is kept while they are matched.
+DENSE = 1 << 25
 #: Bits of the hash by which votes are counted first.
 SLOT_BITS = 20
 
@@ -260,6 +262,8 @@ class Tables:
     def matches(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query corner, corner) pairs near each other, each once though it may be in several tables."""
         keys, out = table_keys(corners["words"]), []
+        words, others = (np.ascontiguousarray(c["words"]) for c in (self.corners, corners))
+        met = np.zeros(len(words) * len(others) if len(words) * len(others) <= DENSE else 0, bool)  # pairs seen, where they are few
         for t in range(TABLES):
             low, high = np.searchsorted(self.keys[t], keys[:, t]), np.searchsorted(self.keys[t], keys[:, t], "right")
             n = high - low
@@ -270,10 +274,16 @@ class Tables:
                 m = n[start:end]
                 mine = np.repeat(np.arange(start, end), m)
                 theirs = self.order[t][np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[start:end], m)]
-                on = np.bitwise_count(self.corners["words"][theirs] ^ corners["words"][mine]).sum(1) <= MAX_BITS
-                out.append(theirs[on] * len(corners) + mine[on])
+                pair = theirs * len(corners) + mine
+                if len(met):
+                    new = np.flatnonzero(~met[pair])
+                    theirs, mine, pair = theirs[new], mine[new], pair[new]
+                    met[pair] = True
+                apart = np.bitwise_count(words[theirs, 0] ^ others[mine, 0]) + np.bitwise_count(words[theirs, 1] ^ others[mine, 1])
+                out.append(pair[apart <= MAX_BITS])
                 start = end
-        both = np.unique(np.concatenate([np.zeros(0, np.int64), *out]))
+        both = np.concatenate([np.zeros(0, np.int64), *out])
+        both = np.sort(both) if len(met) else np.unique(both)
         return both // max(1, len(corners)), both % max(1, len(corners))
 
     def agreeing(self, corners: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,18 +294,22 @@ class Tables:
         """
         i, j = self.matches(corners)
         width = int(image.max(initial=0)) + 1
-        zoom = corners["scale"][j].astype(np.int64) - self.corners["scale"][i]
-        turn = (corners["turn"][j].astype(np.int64) - self.corners["turn"][i]) % TURNS
+        zoom = corners["scale"].astype(np.int64)[j] - self.corners["scale"].astype(np.int64)[i]
+        turn = (corners["turn"].astype(np.int64)[j] - self.corners["turn"].astype(np.int64)[i]) % TURNS
         # no window holds more votes than its scales and turns have matches, wherever these lie
-        pair, at = np.unique(self.query[i] * width + image[j], return_inverse=True)
+        at = self.query[i] * width + image[j]
+        pair = np.flatnonzero(np.bincount(at))
+        numbers = np.zeros(int(pair.max(initial=0)) + 1, np.int64)
+        numbers[pair] = np.arange(len(pair))
+        at = numbers[at]
         low, steps = (int(zoom.min()), int(np.ptp(zoom)) + 2) if len(zoom) else (0, 2)
-        met = np.bincount((at * steps + zoom - low) * TURNS + turn, minlength=len(pair) * steps * TURNS).reshape(len(pair), steps, TURNS)
+        met = np.bincount((at * steps + zoom - low) * TURNS + turn, minlength=len(pair) * steps * TURNS).astype(np.int32).reshape(len(pair), steps, TURNS)
         met[:, 1:] += met[:, :-1].copy()
         met += np.roll(met, 1, 2)
         enough = met >= self.least[pair // width][:, None, None]
         enough |= np.roll(enough, -1, 2)
         enough[:, :-1] |= enough[:, 1:].copy()
-        on = enough[at, zoom - low, turn]
+        on = np.flatnonzero(enough.ravel()[(at * steps + zoom - low) * TURNS + turn])
         i, j, zoom, turn, pair = i[on], j[on], zoom[on], turn[on], pair[at[on]]
         q, c = self.corners[i], corners[j]
         ratio, angle = 2.0 ** (zoom / 4), 2 * np.pi * turn / TURNS
@@ -305,7 +319,7 @@ class Tables:
         # windows by hash, of which some fall together: those of too few votes for sure go before they are sorted
         own = np.stack([pair, zoom, turn, ty, tx])
         slots = np.stack([_slot(own[0], own[1] + z, (own[2] + r) % TURNS, own[3] + a, own[4] + b) for _, z, r, a, b in shifts])
-        on = (np.bincount(slots.ravel(), minlength=1 << SLOT_BITS)[slots] >= self.least[pair // width]).any(0)
+        on = (np.bincount(slots.ravel(), minlength=1 << SLOT_BITS).astype(np.int32)[slots] >= self.least[pair // width]).any(0)
         votes = distinct(np.stack([*own, i], 1)[on])[0][:, :5]
         cells, _, n = distinct(votes)
         windows = np.concatenate([cells + np.array(x) for x in shifts]) if len(cells) else cells
