@@ -7,7 +7,7 @@ with the corner's own orientation, so that brightness, contrast and rotation do
 matter. Blocks of queries are joined with tiles of all images; in each, descriptors meet
 through Hamming tables, each keyed by 24 of the 128 bits: near descriptors agree in all
 bits of some table. Matches of two images vote for the shift, turn and scale between them;
-enough corners that agree make a copy. Images are binary PGM or PPM in a binary column.
+enough corners that agree make a copy. Votes are counted by shift alone first, which few pass by chance. Images are binary PGM or PPM in a binary column.
 """
 
 from __future__ import annotations
@@ -36,11 +36,9 @@ SIDE, SEED = 96, 42
 #: Corners that equal images count as having in common.
 EQUAL = 1 << 20
 #: Queries of a block, images of a tile, images whose votes are counted at a time, and candidates that are held for that.
-BLOCK, TILE, SOME, HELD = 256, 1024, 4, 1 << 18
-#: Pairs of corners of which a map is kept while they are matched.
-DENSE = 1 << 25
-#: Bits of the hash by which votes are counted first.
-SLOT_BITS = 20
+BLOCK, TILE, SOME, HELD = 1024, 1024, 2, 1 << 18
+#: Steps of shift after which the first count of votes begins again, and bits of the hash by which votes are counted then, at most.
+SHIFTS, SLOT_BITS = 16, 20
 
 
 def _pattern() -> np.ndarray:
@@ -216,10 +214,8 @@ _BITS = np.stack([np.sort(np.random.default_rng([SEED, t]).permutation(TESTS)[:K
 def table_keys(words: np.ndarray) -> np.ndarray:
     """The key of each descriptor in each table, stirred so that any of its bits will do."""
     bits = np.unpackbits(np.ascontiguousarray(words.astype(">i8")).view(np.uint8).reshape(-1, 16), axis=1)
-    out = np.empty((len(words), TABLES), np.uint64)
-    for t in range(TABLES):
-        packed = np.packbits(bits[:, _BITS[t]], axis=1)
-        out[:, t] = (packed[:, 0].astype(np.uint64) << np.uint64(16) | packed[:, 1].astype(np.uint64) << np.uint64(8) | packed[:, 2]) + np.uint64(t << KEY_BITS)
+    packed = np.packbits(bits[:, _BITS.ravel()].reshape(len(words), TABLES, KEY_BITS), axis=2).astype(np.uint64)
+    out = (packed[:, :, 0] << np.uint64(16) | packed[:, :, 1] << np.uint64(8) | packed[:, :, 2]) + (np.arange(TABLES, dtype=np.uint64) << np.uint64(KEY_BITS))
     out = (out + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return (out ^ out >> np.uint64(29)).view(np.int64)
 
@@ -240,13 +236,21 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_[new], at, np.bincount(at, minlength=int(new.sum()))
 
 
-def _slot(*columns: np.ndarray) -> np.ndarray:
-    """A hash of SLOT_BITS bits."""
+def _slot(bits: int, *columns: np.ndarray) -> np.ndarray:
+    """A hash of so many bits."""
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+#: Steps of a pose, of which scale and turn make one; and sine, cosine and size of every difference of two.
+POSES = 2 * TURNS
+_POSES = np.arange(-256 * POSES, 256 * POSES)
+_ZOOM = (_POSES + TURNS) // POSES
+_ANGLE = 2 * np.pi * ((_POSES - _ZOOM * POSES) % TURNS) / TURNS
+_POSES = np.sin(_ANGLE), np.cos(_ANGLE), 2.0 ** (_ZOOM / 4)
 
 
 class Tables:
@@ -254,37 +258,49 @@ class Tables:
 
     def __init__(self, blobs: list[bytes]) -> None:
         self.corners, self.query = stacked(blobs)
-        keys = table_keys(self.corners["words"])
-        self.order = [np.argsort(keys[:, t], kind="stable") for t in range(TABLES)]
-        self.keys = [keys[o, t] for t, o in enumerate(self.order)]
+        keys = table_keys(self.corners["words"]).ravel()  # of all tables, which have no key in common
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.begin, self.members = keys[begin], np.append(begin, len(keys)), (order // TABLES).astype(np.int32)
         self.least = np.maximum(AGREEING, -(-np.bincount(self.query, minlength=len(blobs)) // PORTION))
+        self.words = [np.ascontiguousarray(self.corners["words"][:, x]) for x in (0, 1)]
+        self.y, self.x = (self.corners[f].astype(np.float64) for f in "yx")
+        self.pose = self.corners["scale"].astype(np.int32) * POSES + self.corners["turn"]
 
     def matches(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query corner, corner) pairs near each other, each once though it may be in several tables."""
-        keys, out = table_keys(corners["words"]), []
-        words, others = (np.ascontiguousarray(c["words"]) for c in (self.corners, corners))
-        met = np.zeros(len(words) * len(others) if len(words) * len(others) <= DENSE else 0, bool)  # pairs seen, where they are few
-        for t in range(TABLES):
-            low, high = np.searchsorted(self.keys[t], keys[:, t]), np.searchsorted(self.keys[t], keys[:, t], "right")
-            n = high - low
-            upto = np.cumsum(n)
-            start = 0
-            while start < len(n):  # so many candidates at a time
-                end = max(start + 1, int(np.searchsorted(upto, HELD + (upto[start - 1] if start else 0), "right")))
-                m = n[start:end]
-                mine = np.repeat(np.arange(start, end), m)
-                theirs = self.order[t][np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[start:end], m)]
-                pair = theirs * len(corners) + mine
-                if len(met):
-                    new = np.flatnonzero(~met[pair])
-                    theirs, mine, pair = theirs[new], mine[new], pair[new]
-                    met[pair] = True
-                apart = np.bitwise_count(words[theirs, 0] ^ others[mine, 0]) + np.bitwise_count(words[theirs, 1] ^ others[mine, 1])
-                out.append(pair[apart <= MAX_BITS])
-                start = end
-        both = np.concatenate([np.zeros(0, np.int64), *out])
-        both = np.sort(both) if len(met) else np.unique(both)
-        return both // max(1, len(corners)), both % max(1, len(corners))
+        out = [(np.zeros(0, np.intp), np.zeros(0, np.intp))]
+        keys = table_keys(corners["words"]).ravel()
+        order = np.argsort(keys)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(self.keys, keys[order])
+        at[at == len(self.keys)] = 0
+        low = self.begin[at] if len(self.keys) else at
+        n = np.where(self.keys[at] == keys, self.begin[at + 1] - low, 0) if len(self.keys) else np.zeros(len(keys), np.int64)
+        upto = np.cumsum(n.reshape(-1, TABLES).sum(1))
+        words = [np.ascontiguousarray(corners["words"][:, x]) for x in (0, 1)]
+        start = 0
+        while start < len(corners):  # so many candidates at a time, all of a corner together
+            end = max(start + 1, int(np.searchsorted(upto, HELD + (upto[start - 1] if start else 0), "right")))
+            m, first = n[start * TABLES : end * TABLES], low[start * TABLES : end * TABLES]
+            bits = (end - start - 1).bit_length()
+            kind = np.int32 if len(self.corners) << bits < 1 << 31 else np.int64
+            places = np.repeat(first - (np.cumsum(m) - m), m)
+            places += np.arange(len(places))
+            pair = self.members.take(places).astype(kind)
+            pair <<= kind(bits)
+            pair |= np.repeat(np.repeat(np.arange(end - start, dtype=kind), TABLES), m)
+            pair.sort()
+            theirs, mine = (pair >> kind(bits)).astype(np.intp), (pair & kind((1 << bits) - 1)).astype(np.intp) + start
+            apart = np.bitwise_count(self.words[0].take(theirs) ^ words[0].take(mine))
+            apart += np.bitwise_count(self.words[1].take(theirs) ^ words[1].take(mine))
+            near = apart <= MAX_BITS
+            near[1:] &= pair[1:] != pair[:-1]
+            near = np.flatnonzero(near)
+            out.append((theirs.take(near), mine.take(near)))
+            start = end
+        return out[-1] if len(out) == 2 else tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def agreeing(self, corners: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, image, corners) where enough matches agree on one shift, turn and scale.
@@ -294,32 +310,35 @@ class Tables:
         """
         i, j = self.matches(corners)
         width = int(image.max(initial=0)) + 1
-        zoom = corners["scale"].astype(np.int64)[j] - self.corners["scale"].astype(np.int64)[i]
-        turn = (corners["turn"].astype(np.int64)[j] - self.corners["turn"].astype(np.int64)[i]) % TURNS
-        # no window holds more votes than its scales and turns have matches, wherever these lie
-        at = self.query[i] * width + image[j]
+        # turn and scale between two corners as one number, by which sines and sizes are looked up
+        pose = (corners["scale"].astype(np.int32) * POSES + corners["turn"]).take(j) - self.pose.take(i)
+        x, y, sin, cos, ratio = self.x.take(i), self.y.take(i), *(v.take(pose + len(v) // 2) for v in _POSES)
+        ty = np.floor((corners["y"].astype(np.float64).take(j) - ratio * (sin * x + cos * y)) / CELL).astype(np.int64)
+        tx = np.floor((corners["x"].astype(np.float64).take(j) - ratio * (cos * x - sin * y)) / CELL).astype(np.int64)
+        # no window holds more votes than its shifts have matches, whatever their scales and turns
+        at = (self.query * width).take(i) + image.take(j)
         pair = np.flatnonzero(np.bincount(at))
         numbers = np.zeros(int(pair.max(initial=0)) + 1, np.int64)
         numbers[pair] = np.arange(len(pair))
-        at = numbers[at]
-        low, steps = (int(zoom.min()), int(np.ptp(zoom)) + 2) if len(zoom) else (0, 2)
-        met = np.bincount((at * steps + zoom - low) * TURNS + turn, minlength=len(pair) * steps * TURNS).astype(np.int32).reshape(len(pair), steps, TURNS)
-        met[:, 1:] += met[:, :-1].copy()
-        met += np.roll(met, 1, 2)
-        enough = met >= self.least[pair // width][:, None, None]
-        enough |= np.roll(enough, -1, 2)
-        enough[:, :-1] |= enough[:, 1:].copy()
-        on = np.flatnonzero(enough.ravel()[(at * steps + zoom - low) * TURNS + turn])
-        i, j, zoom, turn, pair = i[on], j[on], zoom[on], turn[on], pair[at[on]]
-        q, c = self.corners[i], corners[j]
-        ratio, angle = 2.0 ** (zoom / 4), 2 * np.pi * turn / TURNS
-        ty = np.floor((c["y"] - ratio * (np.sin(angle) * q["x"] + np.cos(angle) * q["y"])) / CELL).astype(np.int64)
-        tx = np.floor((c["x"] - ratio * (np.cos(angle) * q["x"] - np.sin(angle) * q["y"])) / CELL).astype(np.int64)
+        at = numbers.take(at)
+        cell = (at * SHIFTS + (ty & SHIFTS - 1)) * SHIFTS + (tx & SHIFTS - 1)
+        on = np.flatnonzero(_in_window(cell, (len(pair), SHIFTS, SHIFTS), self.least[pair // width]))
+        i, j, ty, tx, pair = i[on], j[on], ty[on], tx[on], pair[at[on]]
+        zoom = corners["scale"].astype(np.int64)[j] - self.corners["scale"].astype(np.int64)[i]
+        turn = (corners["turn"].astype(np.int64)[j] - self.corners["turn"].astype(np.int64)[i]) % TURNS
+        # nor than its scales and turns have
+        some, at = np.unique(pair, return_inverse=True)
+        low, steps = (int(zoom.min()), int(np.ptp(zoom)) + 2) if len(zoom) else (0, 2)  # with one that has none, as scales do not go round
+        on = np.flatnonzero(_in_window((at * steps + zoom - low) * TURNS + turn, (len(some), steps, TURNS), self.least[some // width]))
+        i, zoom, turn, ty, tx, pair = i[on], zoom[on], turn[on], ty[on], tx[on], pair[on]
+        if not len(i):
+            return (np.zeros(0, np.int64),) * 3
         shifts = [(0, z, r, a, b) for z in (0, 1) for r in (0, 1) for a in (0, 1) for b in (0, 1)]
         # windows by hash, of which some fall together: those of too few votes for sure go before they are sorted
         own = np.stack([pair, zoom, turn, ty, tx])
-        slots = np.stack([_slot(own[0], own[1] + z, (own[2] + r) % TURNS, own[3] + a, own[4] + b) for _, z, r, a, b in shifts])
-        on = (np.bincount(slots.ravel(), minlength=1 << SLOT_BITS).astype(np.int32)[slots] >= self.least[pair // width]).any(0)
+        bits = min(SLOT_BITS, (32 * len(i)).bit_length())
+        slots = np.stack([_slot(bits, own[0], own[1] + z, (own[2] + r) % TURNS, own[3] + a, own[4] + b) for _, z, r, a, b in shifts])
+        on = (np.bincount(slots.ravel(), minlength=1 << bits).astype(np.int32)[slots] >= self.least[pair // width]).any(0)
         votes = distinct(np.stack([*own, i], 1)[on])[0][:, :5]
         cells, _, n = distinct(votes)
         windows = np.concatenate([cells + np.array(x) for x in shifts]) if len(cells) else cells
@@ -333,6 +352,17 @@ class Tables:
         return pairs[on] // width, pairs[on] % width, most[on]
 
 
+def _in_window(cell: np.ndarray, shape: tuple[int, int, int], least: np.ndarray) -> np.ndarray:
+    """Which cells, of layers that go round both ways, lie in two by two that hold so many of them."""
+    n = np.bincount(cell, minlength=shape[0] * shape[1] * shape[2]).astype(np.int32).reshape(shape)
+    for axis in (1, 2):  # with the next one
+        n = n + np.concatenate((n[:, 1:], n[:, :1]) if axis == 1 else (n[:, :, 1:], n[:, :, :1]), axis)
+    enough = n >= least.astype(np.int32)[:, None, None]
+    for axis in (1, 2):
+        enough = enough | np.concatenate((enough[:, -1:], enough[:, :-1]) if axis == 1 else (enough[:, :, -1:], enough[:, :, :-1]), axis)
+    return enough.ravel().take(cell)
+
+
 def _search(key: tuple, asked: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
     """(query, key, corners) of a block of queries and a tile of images."""
     turn_to("image search")

@@ -141,3 +141,34 @@ def test_votes_that_cannot_reach_are_not_sorted(monkeypatch):
     most = {pair: max(map(len, windows.values())) for pair, windows in votes.items()}
     assert got == {pair: n for pair, n in most.items() if n >= tables.least[pair[0]]} and len(got) >= 11
     assert max(sorted_rows) < sum(map(len, votes.values())) / 10
+
+
+def _blobs(x):
+    blob = lambda y, scales: next(images._descriptors(iter([pd.DataFrame({"key": [0], "image": [images.encode(y.round())]})]), scales))["corners"][0]
+    return [blob(y[8:88, 12:92] * 0.8 + 10, images.FINER) for y in x], [blob(y, images.SCALES) for y in x]
+
+
+def test_matches_that_no_shift_brings_together_are_not_looked_into(monkeypatch):
+    asked, blobs = _blobs(textures(16, 6).astype(float))
+    tables, (corners, image) = images.Tables(asked), images.stacked(blobs)
+    hashed = []
+    slot = images._slot
+    monkeypatch.setattr(images, "_slot", lambda *a: hashed.append(len(a[-1])) or slot(*a))
+    q, k, _ = tables.agreeing(corners, image)
+    assert {(i, i) for i in range(16)} <= set(zip(q.tolist(), k.tolist(), strict=True))
+    own = (tables.query[(m := tables.matches(corners))[0]] == image[m[1]]).sum()  # true copies, whose matches all may pass
+    assert len(m[0]) > 10 * own and max(hashed) < own + len(m[0]) / 20
+
+
+@pytest.mark.parametrize("held", [1, 1000, 1 << 18])
+def test_matches_are_those_of_any_table(monkeypatch, held):
+    asked, blobs = _blobs(textures(5, 7).astype(float))
+    monkeypatch.setattr(images, "HELD", held)
+    tables, (corners, _) = images.Tables([*asked, b""]), images.stacked([b"", *blobs])
+    i, j = tables.matches(corners)
+    a, b = images.table_keys(tables.corners["words"]), images.table_keys(corners["words"])
+    met = (a[:, None] == b[None]).any(2) & (np.bitwise_count(tables.corners["words"][:, None] ^ corners["words"][None]).sum(2) <= images.MAX_BITS)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(met)), strict=True))
+    for none in (images.Tables([]), images.Tables([b""])):
+        assert [len(x) for x in none.agreeing(*images.stacked(blobs))] == [0, 0, 0]
+    assert [len(x) for x in tables.agreeing(*images.stacked([b""]))] == [0, 0, 0]
