@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -23,3 +24,21 @@ def test_components(spark, monkeypatch, held, steps):
     got = [tuple(r) for r in common.connected_components(df, "a", "b").collect()]
     assert set(got) == want and len(got) == len(want) and bool(taken) == steps
     assert common.connected_components(df.where("a < 0"), "a", "b").count() == 0
+
+
+def test_shuffles_go(spark, tmp_path):
+    """Shuffle files go with the query that made them, though its plan is still held; the setting is as before then."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: sum(str(f).endswith(".data") and "shuffle_" in str(f) for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    common.drop_shuffles(spark)
+    time.sleep(2)
+    before = files()
+    with common.shuffles_go(spark):
+        held = spark.range(10_000).repartition(5, "id")
+        held.write.parquet(str(tmp_path / "a"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(common.CLEANUP, None) is None
+    assert spark.read.parquet(str(tmp_path / "a")).count() == held.count() == 10_000
